@@ -116,3 +116,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(classes, distance), "a", "b", "simhash")
     comps = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(comps, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def unique(docs: DataFrame, distance: int = 4) -> DataFrame:
+    """docs with one document, the least doc_id, of each group of near-duplicates; rows without an id stay."""
+    found = near_duplicates(docs, distance=distance)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
