@@ -19,7 +19,8 @@ _CLEAN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256)
 _SPELLED = [sha256(bytes([c])).digest()[:3] for c in range(256)]  # a byte as three, so that short words weigh enough
 _STEPS = (1, 2, 4, 6, 8, 10, 12)
 _RATIOS = (0.25, 0.4, 0.5, 0.6)
-_KEPT = 400_000
+_KEPT = 300_000
+_SAVINGS: dict[bytes, dict[bytes, int]] = {}  # of the dictionaries in use; a worker keeps no others'
 
 
 def words(text: str) -> list[bytes]:
@@ -44,7 +45,7 @@ class Dictionaries:
     def _open(self) -> None:
         how = dict(window_log=17, chain_log=16, hash_log=16, search_log=6, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
         self._size = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_FULLDICT), compression_params=zstandard.ZstdCompressionParameters(**how)).compress for x in (self.ordinary, self.ordinary + self.toxic)]
-        self._known: dict[bytes, int] = {}
+        self._key = sha256(b"%d:" % len(self.ordinary) + self.ordinary + self.toxic).digest()
 
     def __getstate__(self) -> tuple[bytes, bytes]:
         return self.ordinary, self.toxic
@@ -54,7 +55,10 @@ class Dictionaries:
 
     def savings(self, found: list[bytes]) -> np.ndarray:
         """(bytes saved, size under the ordinary dictionary) of each window."""
-        known = self._known
+        if self._key not in _SAVINGS:
+            _SAVINGS.clear()
+            _SAVINGS[self._key] = {}
+        known = _SAVINGS[self._key]
         if len(known) > _KEPT:
             known.clear()
         first, second = self._size
