@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,6 +18,7 @@ BITS = 6
 CLASSES = 1 << BITS  # 0: no letter; 1-26: a-z; the others share the remaining classes by code point
 ORDER = 4  # so a model has at most 2**24 n-grams
 CALIBRATION = 4000
+_PLACES: dict[str, np.ndarray] = {}
 
 
 @lru_cache(1)
@@ -109,7 +111,7 @@ class Model:
             p[own] += np.maximum(n - d, 0) / total[context]
             self.high[:, k] = np.log(p)
         self.limit = np.full(len(self.langs), np.inf)  # cross-entropy beyond which a text is rejected
-        self._place = None
+        self.key = uuid.uuid4().hex
 
     @staticmethod
     def _lower(code: np.ndarray) -> np.ndarray:
@@ -127,17 +129,19 @@ class Model:
             p = (np.maximum(by - d, 0) / np.maximum(total, 1) + weight * below).reshape(-1)
         return p
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_place"} | {"_place": None}
+    def _place(self) -> np.ndarray:
+        """Places of the sorted array by code. A process keeps those of one model."""
+        if self.key not in _PLACES:
+            _PLACES.clear()
+            _PLACES[self.key] = np.full(1 << BITS * ORDER, -1, np.int32)
+            _PLACES[self.key][self.codes] = np.arange(self.codes.size)
+        return _PLACES[self.key]
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy of each text in each language by character, numbers of characters, and of letters."""
-        if self._place is None:  # the sorted array's places, by code
-            self._place = np.full(1 << BITS * ORDER, -1, np.int32)
-            self._place[self.codes] = np.arange(self.codes.size)
         x, starts = classes_of(texts)
         g = grams(x)
-        at = self._place[g]
+        at = self._place()[g]
         logs = self.high[at]
         miss = np.flatnonzero(at < 0)
         logs[miss] = self.back[g[miss] >> BITS] + self.low[g[miss] & (CLASSES ** (ORDER - 1) - 1)]
