@@ -121,19 +121,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, block: int = BLOCK,
         links = written(links, "vector-links")
         more = links.where("b is null").groupBy("a").agg(F.sum("n").alias("more"))
         comps = components(links.where("b is not null"), "a", "b", "vectors")
-        classes = classes.join(more, classes["rep"] == more["a"], "left").join(comps, classes["rep"] == comps["node"], "left")
-        classes = classes.select("embedding", "n", "rep", F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("component", "rep").alias("component"))
+        joined = classes.join(more, classes["class"] == more["a"], "left").join(comps, classes["class"] == comps["node"], "left")
+        joined = joined.select("embedding", "n", "rep", F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("component", "class").alias("root"))
+        least_id = joined.groupBy("root").agg(F.min("rep").alias("component"))
+        classes = joined.join(least_id, "root")
     else:
         classes = classes.select("embedding", "n", "rep", F.lit(0).cast("long").alias("more"), F.col("rep").alias("component"))
     found = rows.where("embedding is not null").join(classes, "embedding").select("vec_id", (F.col("n") - 1 + F.col("more")).alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return found.unionByName(alone).withColumn("kept", F.col("vec_id") <=> F.col("component_id"))
+    return found.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def _tiles(classes: DataFrame, size: int, total: int, least: float, block: int, pivots: int) -> DataFrame:
     """(a, b, n): forest links (a, b), and for each class with links (a, null, vectors linked in a tile)."""
     count = min(pivots, -(-total // block))
-    picked = [r["embedding"] for r in classes.orderBy("class", "rep").limit(count).select("embedding").collect()]
+    picked = [r["embedding"] for r in classes.orderBy("class").limit(count).select("embedding").collect()]
     centres = unit(np.array(picked, np.float64))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +146,7 @@ def _tiles(classes: DataFrame, size: int, total: int, least: float, block: int,
                 angle = np.arccos(np.clip(cosine[np.arange(len(best)), best], -1, 1))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(angle)], [*batch.schema.names, "pivot", "angle"])
 
-    dealt = written(classes.select("embedding", "rep", "n").mapInArrow(assign, f"embedding {classes.schema['embedding'].dataType.simpleString()}, rep long, n long, pivot int, angle double"), "vector-pivots")
+    dealt = written(classes.select("embedding", F.col("class").alias("rep"), "n").mapInArrow(assign, f"embedding {classes.schema['embedding'].dataType.simpleString()}, rep long, n long, pivot int, angle double"), "vector-pivots")
     of = {r["pivot"]: (r["c"], r["r"]) for r in dealt.groupBy("pivot").agg(F.count("*").alias("c"), F.max("angle").alias("r")).collect()}
     far = math.acos(max(-1.0, min(1.0, least))) + 1e-6
     between = np.arccos(np.clip(centres @ centres.T, -1, 1))
