@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, raw, sorted_groups
+from .common import chunks, raw, small_batches, sorted_groups
 
 DEPTH = 50
 GRAM = 24
 SEGMENT = 1 << 20  # windows of a text handled at once
-FLUSH = 1 << 20  # runs that a task gathers before it sends them
+FLUSH = 1 << 18  # runs that a task gathers before it sends them
 _U = np.uint64
 
 
@@ -306,6 +306,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, parts: int | None = None
     if depth < GRAM + 8:
         raise ValueError(f"depth must be {GRAM + 8} or more")
     spark = docs.sparkSession
+    small_batches(spark)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts or 4 * shuffles
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
