@@ -24,6 +24,7 @@ from .common import chunks, raw, small_batches, sorted_groups
 DEPTH = 50
 GRAM = 24
 SEGMENT = 1 << 20  # windows of a text handled at once
+LONGEST = 64  # windows of a run; periodic text, of one minimiser throughout, becomes many equal runs
 FLUSH = 1 << 18  # runs that a task gathers before it sends them
 _U = np.uint64
 
@@ -68,6 +69,10 @@ def _segment(b: np.ndarray, at: int, depth: int) -> tuple[np.ndarray, np.ndarray
     n = b.size - depth + 1
     low = low[:n]
     start = np.r_[0, np.flatnonzero(low[1:] != low[:-1]) + 1]
+    size = np.diff(np.r_[start, n])
+    count = -(-size // LONGEST)
+    if count.max() > 1:
+        start = np.repeat(start, count) + LONGEST * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
     stop = np.r_[start[1:], n]
     power, inverse = _powers()
     eights = grams[8]
