@@ -79,7 +79,7 @@ def _segment(b: np.ndarray, at: int, depth: int) -> tuple[np.ndarray, np.ndarray
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(eights * power[: eights.size])])
     content = (sums[stop + depth - 8] - sums[start]) * inverse[start]
     content = _mix(content + _mix((stop - start).astype(_U), 0xE7037ED1A0B428DB), 0x8EBC6AF09C88C6E3)
-    return low[start], content, start + at, stop + at
+    return _mix(_mix(low[start]), 0x94D049BB133111EB), content, start + at, stop + at  # least hashes are small: spread them
 
 
 def _planes(x: np.ndarray) -> bytes:
