@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import import_module
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+_MODULES = ("graph_queries", "seed_queries", "stat_queries")
 
-def oracle_sql() -> dict:
-    return {}
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        if key in _QUERIES:
+            raise ValueError(f"two queries are named {key}")
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for m in _MODULES:
+        import_module(f"{__package__}.{m}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
