@@ -47,7 +47,7 @@ def pairwise_loss(scores: DataFrame, slices: int = 16) -> DataFrame:
     so a row is made for each negative and slice, not for each pair.
     """
     positive = scores.where("y = 1").groupBy(F.pmod(F.xxhash64("bag_id"), F.lit(slices)).alias("slice")).agg(F.collect_list("score").alias("pos"))
-    negative = scores.where("y = 0").select(F.col("score").alias("neg"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("long").alias("slice"))
+    negative = scores.where("y = 0").select(F.col("score").alias("neg"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"))
     each = negative.join(positive, "slice").select(F.aggregate("pos", F.lit(0.0), lambda t, p: t + 1 / (1 + F.exp(-(F.col("neg") - p)))).alias("l"), F.size("pos").alias("k"))
     return each.agg(F.coalesce(F.sum("l"), F.lit(0.0)).alias("loss"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_pairs"))
 

@@ -1,0 +1,13 @@
+"""Short lineage for small results that many later steps read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed to the cluster's shared folder (spark.checkpoint.dir), or to one of our own where unset."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+    return df.checkpoint(eager=True)

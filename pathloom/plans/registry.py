@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("graph_queries", "seed_queries", "stat_queries")
+_MODULES = ("graph_queries", "seed_queries", "stat_queries", "score_queries", "sampling_queries", "search_queries")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
