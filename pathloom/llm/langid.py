@@ -46,13 +46,14 @@ def classes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return x[keep], place[starts]
 
 
-def grams(x: np.ndarray) -> np.ndarray:
-    """Code of the n-gram that ends at each place; the first places lack a past, which counts as non-letters."""
+def grams(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Code of the n-gram that ends at each place; what lies before a text's beginning counts as non-letters."""
+    place = np.arange(x.size) - np.repeat(starts, np.diff(np.r_[starts, x.size]))
     out = x.copy()
     past = x
     for k in range(1, ORDER):
         past = np.r_[np.zeros(1, np.int32), past[:-1]]
-        out |= past << (BITS * k)
+        out |= np.where(place >= k, past, 0) << (BITS * k)
     return out
 
 
@@ -70,7 +71,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 langs, texts = part.column("lang").to_pylist(), _texts(part)
                 for lang in set(langs):
                     x, starts = classes_of([t for t, v in zip(texts, langs, strict=True) if v == lang])
-                    g = grams(x)
+                    g = grams(x, starts)
                     whole = np.ones(g.size, bool)
                     whole[starts] = False  # the mark before a text is not predicted
                     code, n = np.unique(np.concatenate([held[lang][0], g[whole]]), return_inverse=True)
@@ -140,7 +141,7 @@ class Model:
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy of each text in each language by character, numbers of characters, and of letters."""
         x, starts = classes_of(texts)
-        g = grams(x)
+        g = grams(x, starts)
         at = self._place()[g]
         logs = self.high[at]
         miss = np.flatnonzero(at < 0)
