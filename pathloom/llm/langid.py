@@ -35,7 +35,7 @@ def _classes() -> np.ndarray:
 
 def classes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all texts in a row, each text between non-letters and runs of these as one; and where texts begin."""
-    joined = "\n" + "\n".join(texts) + "\n"
+    joined = "\n" + "\n".join(texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     x = _classes()[points].astype(np.int32)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
