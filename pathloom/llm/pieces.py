@@ -19,7 +19,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 _OWN = 1 << 21  # symbols from here on stand for a code point outside the vocabulary
 _LONG = 96  # longer segments go through the heap instead of the arrays
-_KEPT, _KEPT_CHARS = 600_000, 16 << 20
+_KEPT, _KEPT_CHARS = 300_000, 8 << 20
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
