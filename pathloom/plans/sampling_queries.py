@@ -142,10 +142,12 @@ def induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(sampling.induced(found, graph))
 
 
-_TWO = f"""WITH {_nodes_sql(BUYS)}, {_edges_sql(BUYS)}, {_seeds_sql('customer')}, l0 AS (SELECT SeedId, ts, type, SeedId AS id FROM seeds), {_step_sql('s1', 'l0', 1, 3, 'c')}"""
+_TWO = f"""WITH {_edges_sql(PLACES)}, {_seeds_sql('supplier')}, one AS (SELECT DISTINCT s.SeedId, s.ts, e.dst_type AS type, e.dst AS id FROM seeds s JOIN edges e ON e.src_type = s.type AND e.src = s.SeedId),
+ two AS (SELECT o.SeedId, o.ts, e.dst_type AS type, e.dst AS id, count(DISTINCT (e.src_type, e.src)) AS n_links FROM one o JOIN edges e ON e.src_type = o.type AND e.src = o.id GROUP BY ALL),
+ both_ AS (SELECT *, CAST(0 AS BIGINT) AS n_links, 1 AS hop FROM one UNION ALL SELECT t.*, 2 FROM two t WHERE NOT (t.type = 'supplier' AND t.id = t.SeedId) AND NOT EXISTS (SELECT 1 FROM one o WHERE o.SeedId = t.SeedId AND o.type = t.type AND o.id = t.id))"""
 
 
-@query(None)
+@query(f"{_TWO} SELECT SeedId, CAST(ts AS VARCHAR) AS ts, type, id, CAST(hop AS INT) AS hop, 0.0::DOUBLE AS days, n_links FROM both_")
 def two_hop_with_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = Database(spark, sf_dir)
     return shown(sampling.two_hop(_seeds(db, "supplier"), *_graph(db, PLACES), 5000, 1000))

@@ -113,7 +113,7 @@ def bool_to_int_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", seeds.bool_labels("toxic").alias("toxic"))
 
 
-@query()
+@query(f"WITH {CHURN} SELECT CAST(r.r AS INT) AS rank, CAST(ceil(c.n / 8.0) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM churn) c, (SELECT unnest(range(8)) AS r) r")
 def rank_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.ranks(_churn(spark, sf_dir), 8).groupBy("rank").agg(F.count("*").alias("n"))
 

@@ -206,6 +206,21 @@ def test_tokens(spark):
     assert [(r["src_pos"], r["dst_pos"]) for r in sampling.induced(found, edges).collect()] == [(0, 4)]  # the last place counts
 
 
+def test_token_store(spark, tmp_path):
+    from pathloom.sources import tokens
+
+    at = F.lit("2020-01-01").cast("timestamp_ntz")
+    found = spark.createDataFrame([(1, 0, "s", 1, 0, 0.0), (1, 1, "o", 7, 1, 2.5), (2, 0, "s", 2, 0, 0.0), (2, 1, "#pad", 0, 2, -1.0)], "SeedId long, pos int, type string, id long, hop int, days double").withColumn("ts", at)
+    edges = spark.createDataFrame([(1, 0, 1)], "SeedId long, src_pos int, dst_pos int").withColumn("ts", at)
+    tokens.pack(found, edges, {"o": 0, "s": 1}).write.parquet(str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert {r["SeedId"]: (r["types"], r["edge_src"], r["edge_dst"]) for r in back.collect()} == {1: ([1, 0], [0], [1]), 2: ([1, 2], [], [])}
+    rows = {(r["SeedId"], r["pos"]): (r["type_id"], r["id"], r["hop"], r["days"]) for r in tokens.unpack(back).collect()}
+    assert rows[1, 1] == (0, 7, 1, 2.5) and rows[2, 1] == (2, 0, 2, -1.0)
+    places = spark.createDataFrame([(1, 0), (2, 1)], "SeedId long, b int").withColumn("ts", at)
+    assert sorted(r["flat"] for r in tokens.flat_positions(found, places, 2).collect()) == [0, 1, 2, 3]
+
+
 def test_quota_is_whole(spark):
     sizes = spark.createDataFrame([(1, 1, 3), (1, 2, 3), (1, 3, 1), (2, 1, 7)], "SeedId long, hop int, n long").withColumn("ts", F.lit("x"))
     out = {(r["SeedId"], r["hop"]): r["quota"] for r in sampling.quota(sizes, 4).collect()}
