@@ -185,6 +185,15 @@ def test_random_tokens():
         assert not [k for *_, k in secrets.spans(calm) if k == "random"]
 
 
+def test_random_tokens_of_each_encoding():
+    rng = random.Random(8)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        hits = sum(bool(secrets.spans("key " + "".join(rng.choice(letters) for _ in range(40)) + " end")) for _ in range(100))
+        assert hits > 90, letters  # digits are found by the pattern of hex
+    for calm in ("donaudampfschifffahrtsgesellschaftskapitaen", "electroencefalografistas", "ACKNOWLEDGEMENTSANDDEDICATION", "0" * 40, "20240102030405123456", "-" * 60, "usr/local/share/applications/default"):
+        assert not [k for *_, k in secrets.spans(calm) if k == "random"]
+
+
 def test_redaction(spark):
     text = "before token=AAAAAAAA after " + "0123456789abcdef01234567" + " é end"
     out = secrets.redact(documents(spark, [text, None, "clean"])).collect()
