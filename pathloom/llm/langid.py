@@ -17,7 +17,7 @@ from .common import chunks, fold
 BITS = 6
 CLASSES = 1 << BITS  # 0: no letter; 1-26: a-z; the others share the remaining classes by code point
 ORDER = 4  # so a model has at most 2**24 n-grams
-CALIBRATION = 4000
+FEW = 30  # texts; a language with fewer has no deviation to trust
 _PLACES: dict[str, np.ndarray] = {}
 
 
@@ -162,11 +162,46 @@ class Model:
         return [self.langs[b] if m else "und" for b, m in zip(best.tolist(), letters.tolist(), strict=True)], score, rejected
 
 
-def train(docs: DataFrame, calibration: int = CALIBRATION, width: float = 4.0) -> Model | None:
+def deviations(docs: DataFrame, model: Model) -> DataFrame:
+    """(lang, n, m, s): texts of each language of at least 20 characters, mean and deviation of their own cross-entropies."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {v: k for k, v in enumerate(shared.value.langs)}
+        held = np.zeros((len(place), 3))
+        for batch in batches:
+            for part in chunks(batch, "text", 1 << 20):
+                h, size, _ = shared.value.entropies(_texts(part))
+                at = np.array([place[v] for v in part.column("lang").to_pylist()])
+                long = np.flatnonzero(size >= 20)
+                at, x = at[long], h[long, at[long]]
+                held += np.stack([np.bincount(at, w, len(place)) for w in (np.ones(x.size), x, x * x)], 1)
+        some = np.flatnonzero(held[:, 0])
+        if some.size:
+            yield pa.RecordBatch.from_pydict({"lang": [shared.value.langs[k] for k in some], "n": held[some, 0].astype(np.int64), "h": held[some, 1], "hh": held[some, 2]})
+
+    sums = docs.select("lang", "text").mapInArrow(run, "lang string, n long, h double, hh double").groupBy("lang").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.sum("hh").alias("hh"))
+    mean = F.col("h") / F.col("n")
+    return sums.select("lang", "n", mean.alias("m"), F.sqrt(F.greatest(F.col("hh") / F.col("n") - mean * mean, F.lit(0.0))).alias("s"))
+
+
+def limits(model: Model, found: list, width: float, few: int = FEW) -> np.ndarray:
+    """Cross-entropy of each language beyond which a text is rejected, from rows of deviations().
+
+    Mean and `width` deviations. A language with fewer than `few` texts has at least the loosest limit
+    of those with more; if none has more, its limit is infinite, as is that of a language without texts.
+    """
+    own = {r["lang"]: r["m"] + width * r["s"] for r in found}
+    loosest = max((own[r["lang"]] for r in found if r["n"] >= few), default=np.inf)
+    own |= {r["lang"]: max(own[r["lang"]], loosest) for r in found if r["n"] < few}
+    return np.array([own.get(v, np.inf) for v in model.langs])
+
+
+def train(docs: DataFrame, width: float = 4.0) -> Model | None:
     """Models from all texts of the learning folds with a language; None if there are none.
 
-    Counts cover every learning document. The limits of rejection (mean and `width` deviations of
-    cross-entropies in the own language) come from `calibration` learning texts, drawn by least hash of doc_id.
+    Counts, and the limits of rejection (mean and `width` deviations of cross-entropies in the own
+    language), cover every learning document.
     """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 3) != 1))
     found = counts(own).toArrow()
@@ -180,30 +215,17 @@ def train(docs: DataFrame, calibration: int = CALIBRATION, width: float = 4.0) -
         rows = rows[np.argsort(code[rows])]
         grouped[v] = (code[rows], n[rows])
     model = Model(grouped)
-    picked = own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                h, size, _ = shared.value.entropies(_texts(part))
-                place = {v: k for k, v in enumerate(shared.value.langs)}
-                langs = part.column("lang").to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array([float(h[i, place[v]]) for i, v in enumerate(langs)]), pa.array(size)], ["lang", "h", "n"])
-
-    sample = own.join(F.broadcast(picked), "doc_id").select("lang", "text").mapInArrow(run, "lang string, h double, n long")
-    for row in sample.where("n >= 20").groupBy("lang").agg(F.avg("h").alias("m"), F.coalesce(F.stddev_pop("h"), F.lit(0.0)).alias("s")).collect():
-        model.limit[model.langs.index(row["lang"])] = row["m"] + width * row["s"]
+    model.limit = limits(model, deviations(own, model).collect(), width)
     return model
 
 
-def identify(docs: DataFrame, model: Model | None = None, calibration: int = CALIBRATION) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for each row of docs.
 
     A text that is null or has no letter is `und` with score 0; so is every text if nothing could be learned.
     `rejected` marks those and texts unlike any learned language; lang_pred is the nearest all the same.
     """
-    model = model or train(docs, calibration)
+    model = model or train(docs)
     held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     if model is None:
         return docs.select("doc_id", held_out, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))

@@ -163,6 +163,25 @@ def test_language_batch_does_not_matter():
         assert np.allclose(one[0][0], together[i]) and one[1][0] == n[i] and one[2][0] == letters[i]
 
 
+def test_language_limits_from_every_text(spark):
+    rng = random.Random(6)
+    pools = {"en": "the cat and hat sat on mat with rat in thin fog".split(), "es": "el gato de la casa como un perro en una calle".split()}
+    langs = ["en"] * 4600 + ["es"] * 60 + ["de"]
+    texts = [" ".join(rng.choices(pools.get(v, ["der", "hund", "im", "haus"]), k=12)) for v in langs]
+    rows = [(i, t, v) for i, (t, v) in enumerate(zip(texts, langs, strict=True)) if i % 3 == 0 or v != "en"] + [(10_000 + i, t, "en") for i, t in enumerate(texts[:4600])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    own = df.where(common.fold("doc_id", 3) != 1)
+    model = langid.train(df)
+    for k, v in enumerate(model.langs):
+        if v != "de":
+            h = model.entropies([r["text"] for r in own.where(F.col("lang") == v).collect()])[0][:, k]
+            assert np.isclose(model.limit[k], h.mean() + 4 * h.std())
+    found = [{"lang": "a", "n": 100, "m": 2.0, "s": 0.25}, {"lang": "b", "n": 1, "m": 1.0, "s": 0.0}]
+    model.langs = ["a", "b", "c"]
+    assert langid.limits(model, found, 4.0).tolist() == [3.0, 3.0, np.inf]
+    assert langid.limits(model, found[1:], 4.0).tolist() == [np.inf] * 3
+
+
 # --- 3 ----------------------------------------------------------------------------------------
 
 
