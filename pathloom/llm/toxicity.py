@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import chunks, fold
 
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 5000
+WINDOWS = 60_000  # of eight words, that the ordinary dictionary is trained on
+SIZE = 32768  # bytes of each part of the dictionaries
 _CLEAN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 _SPELLED = [sha256(bytes([c])).digest()[:3] for c in range(256)]  # a byte as three, so that short words weigh enough
 _STEPS = (1, 2, 4, 6, 8, 10, 12)
@@ -85,11 +87,16 @@ class Dictionaries:
         return np.concatenate([np.log1p(x), np.sqrt(x / saved.size), [saved.max(), best.mean(), np.sqrt(np.maximum(saved - 1, 0).mean()), np.log1p(saved.size), ratio.max()]])
 
 
-def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int = 32768, seed: int = 0) -> Dictionaries:
+def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int = SIZE, seed: int = 0, windows: int = WINDOWS) -> Dictionaries:
     """The ordinary part is trained on ordinary windows of eight words; the toxic part is the windows that
-    recur in toxic texts and hardly occur in ordinary ones, commonest last, where matches cost least."""
+    recur in toxic texts and hardly occur in ordinary ones, commonest last, where matches cost least.
+
+    zstandard trains only the ordinary part, on at most `windows` windows drawn at random. The toxic part is a
+    selected list of words: in three toxic texts or more, odds above 8, 64 bytes or less, the commonest that
+    fill `size` bytes.
+    """
     many = [b"".join(_window(w)[3:] for w in t[i : i + 8]) for t in ordinary for i in range(0, len(t), 8)]
-    many = [many[i] for i in np.random.default_rng(seed).permutation(len(many))[:60_000]]
+    many = [many[i] for i in np.random.default_rng(seed).permutation(len(many))[:windows]]
     try:
         base = zstandard.train_dictionary(size, many).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
@@ -116,7 +123,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(((x - self.mean) / self.scale) @ self.weights + self.bias, -30, 30)))
 
 
-def fit(toxic: list[str], ordinary: list[str], share: float, folds: int = 4) -> Model:
+def fit(toxic: list[str], ordinary: list[str], share: float, folds: int = 4, windows: int = WINDOWS, size: int = SIZE) -> Model:
     """Calibrate on features from dictionaries that have not seen the text, then train the dictionaries on all.
 
     `share` is the share of toxic texts among labelled ones, to which the score is calibrated.
@@ -124,7 +131,7 @@ def fit(toxic: list[str], ordinary: list[str], share: float, folds: int = 4) ->
     plus, minus = [words(t) for t in toxic], [words(t) for t in ordinary]
     rows, y = [], []
     for k in range(folds):
-        own = train_dictionaries([t for i, t in enumerate(plus) if i % folds != k], [t for i, t in enumerate(minus) if i % folds != k])
+        own = train_dictionaries([t for i, t in enumerate(plus) if i % folds != k], [t for i, t in enumerate(minus) if i % folds != k], size, windows=windows)
         rows += [own.features(t) for t in plus[k::folds]] + [own.features(t) for t in minus[k::folds]]
         y += [1.0] * len(plus[k::folds]) + [0.0] * len(minus[k::folds])
     x, target = np.array(rows), np.array(y)
@@ -140,14 +147,14 @@ def fit(toxic: list[str], ordinary: list[str], share: float, folds: int = 4) ->
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return Model(train_dictionaries(plus, minus), mean, scale, w[:-1], float(w[-1]))
+    return Model(train_dictionaries(plus, minus, size, windows=windows), mean, scale, w[:-1], float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE, ordinary_sample: int = ORDINARY_SAMPLE, text_bytes: int = 16384) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE, ordinary_sample: int = ORDINARY_SAMPLE, text_bytes: int = 16384, windows: int = WINDOWS, size: int = SIZE) -> Model | None:
     """Fit on at most the given numbers of labelled texts of the learning folds, drawn by least hash of doc_id.
 
     The bounds are for fitting alone: of a text longer than `text_bytes` characters a random run of that
-    length is learned from; scoring uses whole texts. None where a class has no text.
+    length is learned from, and train_dictionaries() keeps to `windows` and `size`; scoring uses whole texts. None where a class has no text.
     """
     own = labels.where(F.col("toxic").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id", 4) != 2)).select("doc_id", "toxic").distinct()
     share = own.agg(F.avg("toxic").alias("p")).first()["p"]
@@ -159,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE,
     rows = docs.where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", F.col("text").substr(start, F.lit(text_bytes)).alias("text")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     texts = {k: [r["text"] for r in rows if r["toxic"] == k] for k in (0, 1)}
-    return fit(texts[1], texts[0], float(share)) if texts[0] and texts[1] else None
+    return fit(texts[1], texts[0], float(share), windows=windows, size=size) if texts[0] and texts[1] else None
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -240,6 +240,14 @@ def test_toxicity_held_out(table):
     assert 0 <= model.score([""])[0] <= 1
 
 
+def test_toxicity_bounds_are_parameters():
+    toxic = ["bad%d worse%d" % (i % 300, i % 300) for i in range(1200)]
+    ordinary = ["plain words in line %d" % i for i in range(2000)]
+    small = toxicity.fit(toxic, ordinary, 0.3, folds=2, windows=100, size=2048).dictionaries
+    large = toxicity.fit(toxic, ordinary, 0.3, folds=2).dictionaries
+    assert 2048 < len(small.toxic) < 2048 + 3 * 66 and len(large.toxic) > 2 * len(small.toxic)
+
+
 def test_quality_risk_learns():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(0, 1, (600, 4)), rng.normal(3, 1, (600, 4))
