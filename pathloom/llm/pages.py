@@ -49,6 +49,7 @@ class Page:
         self.tags, self.parents, self.names = ["#root"], [0], [frozenset()]
         self.pieces: list[tuple[int, int, str]] = []
         self.block = 0
+        self.open_p = 0
         self._parse(html)
 
     def _parse(self, html: str) -> None:
@@ -80,7 +81,7 @@ class Page:
                 if name in BLOCK:
                     self.block += 1
                 continue
-            if name in _IN_P and "p" in (tags[k] for k in stack[-8:]):
+            if name in _IN_P and self.open_p:
                 self._pop_to(stack, {"p"}, {"table", "td", "th", "button", "object"})
             if name in HEADINGS and tags[stack[-1]] in HEADINGS:
                 stack.pop()
@@ -100,6 +101,8 @@ class Page:
             tags.append(name)
             self.names.append(found)
             stack.append(len(tags) - 1)
+            if name == "p":
+                self.open_p += 1
             if name in HIDDEN:
                 hidden += 1
             if name in RAW:
@@ -116,12 +119,16 @@ class Page:
         if not hidden:
             self.pieces.append((node, self.block, unescape(text) if "&" in text else text))
 
+    def _cut(self, stack: list[int], k: int) -> None:
+        self.open_p -= sum(self.tags[x] == "p" for x in stack[k:])
+        del stack[k:]
+
     def _pop_to(self, stack: list[int], which: set[str], scope: set[str]) -> None:
         """Close the nearest open element of these, unless one of the scope is nearer."""
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tags[stack[k]]
             if tag in which:
-                del stack[k:]
+                self._cut(stack, k)
                 self.block += 1
                 return
             if tag in scope or (which == {"p"} and tag in BLOCK):
@@ -133,7 +140,7 @@ class Page:
             tag = self.tags[stack[k]]
             if tag == name:
                 gone = sum(self.tags[x] in HIDDEN for x in stack[k:])
-                del stack[k:]
+                self._cut(stack, k)
                 if not inline:
                     self.block += 1
                 return hidden - gone

@@ -368,6 +368,15 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).collect() == []
 
 
+def test_open_paragraph_is_ended_at_any_depth():
+    for depth in (3, 7, 8, 30):
+        page = pages.Page("<body><p>one" + "<font><b>" * depth + "two<div>three<p>four</p></div><p>five</body>")
+        div = page.tags.index("div")
+        assert page.parents[div] == page.tags.index("body")
+        assert [page.tags[page.parents[k]] for k, t in enumerate(page.tags) if t == "p"] == ["body", "div", "body"]
+        assert page.open_p == 0
+
+
 def test_no_contradictions():
     rng = random.Random(5)
     trees = pages.train()
