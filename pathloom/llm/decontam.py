@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, raw
+from .common import chunks, forget, raw, written
 
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 K1, B = 1.2, 0.75
@@ -60,8 +60,18 @@ class Index:
     block: int = 64
 
 
-def build(items: list[tuple[int, bytes]], share: float = 0.15) -> Index:
-    """Items without a word are left out: nothing can hold them."""
+@dataclass
+class Whole:
+    """What BM25 counts over all items of a benchmark, whatever shard they are in."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[bytes, int]  # of the shard's terms at least
+
+
+def build(items: list[tuple[int, bytes]], share: float = 0.15, whole: Whole | None = None) -> Index:
+    """Items without a word are left out: nothing can hold them. Without `whole`, the items are the whole benchmark."""
     parted = [(i, words(t), *question_answer(t)) for i, t in items]
     parted = [p for p in parted if p[1]]
     counts = [dict(zip(*np.unique(np.array(p[1], object), return_counts=True), strict=True)) for p in parted]
@@ -71,7 +81,11 @@ def build(items: list[tuple[int, bytes]], share: float = 0.15) -> Index:
     for c in counts:
         for w in c:
             df[vocabulary[w]] += 1
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    longest = max((len(p[1]) for p in parted), default=1)
+    of_all, of_any = df, n
+    if whole is not None:
+        of_all, of_any, mean, longest = np.array([whole.df[w] for w in vocabulary], float), whole.n, whole.mean, whole.longest
+    idf = np.log(1 + (of_any - of_all + 0.5) / (of_all + 0.5))
     rows: list[tuple[int, int, float]] = []
     for k, (p, c) in enumerate(zip(parted, counts, strict=True)):
         own = [(vocabulary[w], k, idf[vocabulary[w]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(p[1]) / mean))) for w, tf in c.items()]
@@ -90,7 +104,7 @@ def build(items: list[tuple[int, bytes]], share: float = 0.15) -> Index:
             break
         left[of[a:b]] += impacts[a:b]
         closed[t] = True
-    return Index([p[0] for p in parted], [p[1] for p in parted], [p[2] for p in parted], [p[3] for p in parted], vocabulary, start, of, impacts, most, block_most, float(left.max(initial=0)), ~closed, max((len(p[1]) for p in parted), default=1))
+    return Index([p[0] for p in parted], [p[1] for p in parted], [p[2] for p in parted], [p[3] for p in parted], vocabulary, start, of, impacts, most, block_most, float(left.max(initial=0)), ~closed, longest)
 
 
 def wand(index: Index, terms: np.ndarray, threshold: float) -> dict[int, float]:
@@ -254,9 +268,38 @@ def _counts(values: list[float], least: float, least_question: float) -> bool:
 
 
 def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[Index]:
-    """Indexes of hash shards of the items, collected one at a time, of about `shard_bytes` of text each."""
+    """Indexes of hash shards of the items, collected one at a time, of about `shard_bytes` of text each.
+
+    Document frequencies, mean length and longest item are of the whole benchmark in each of them.
+    """
     total = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = int(-(-total // shard_bytes)) or 1
+    items = benchmark.where(F.col("text").isNotNull()).withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    sizes = df = None
+    if shards > 1:
+        sizes = items.select("text").mapInArrow(_lengths, "n long, words long, longest long").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest")).first()
+        df = written(items.select("text").mapInArrow(_terms, "word binary").groupBy("word").agg(F.count("*").alias("n")), "terms")
     for shard in range(shards):
-        own = benchmark.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard))
-        yield build(sorted((r["item_id"], r["text"].encode()) for r in own.select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), "text").collect()))
+        own = items.where(F.col("shard") == shard)
+        whole = None
+        if df is not None:
+            found = df.join(own.select("text").mapInArrow(_terms, "word binary").distinct(), "word", "left_semi").toArrow()
+            whole = Whole(sizes["n"] or 0, (sizes["words"] or 0) / max(1, sizes["n"] or 0), sizes["longest"] or 1, dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True)))
+        yield build(sorted((r["item_id"], r["text"].encode()) for r in own.select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), "text").collect()), whole=whole)
+    if df is not None:
+        forget(df)
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, words, longest) of the items with a word."""
+    for batch in batches:
+        sizes = [k for k in (len(words(t)) for t in raw(batch, "text")) if k]
+        if sizes:
+            yield pa.RecordBatch.from_pydict({"n": [len(sizes)], "words": [sum(sizes)], "longest": [max(sizes)]})
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each item."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([w for t in raw(part, "text") for w in set(words(t))], pa.binary())], ["word"])

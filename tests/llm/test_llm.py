@@ -306,6 +306,19 @@ def test_decontamination(spark, table):
         assert {d for d, _ in got} | {r["doc_id"] for r in decontam.clean(df, b, shard_bytes=size).collect()} == set(range(len(texts)))
 
 
+def test_shards_of_the_benchmark_change_nothing(spark, table):
+    bench = pq.read_table(f"{SF}/benchmark.parquet").to_pydict()
+    items = [*zip(bench["item_id"], bench["text"], strict=True), (900, None), (901, "!!"), (902, " ".join(t for t in table["text"][7:9])[:3000])]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rng = random.Random(2)
+    edited = [" ".join(w if rng.random() > share else "edited" for w in t.split()) for _, t in items[:20] for share in (0, 0.03, 0.1, 0.25)]
+    df = documents(spark, [f"{table['text'][3]} {t} {table['text'][4]}" for t in edited])
+    loose = {"threshold": 0.3, "least": 0.1, "least_question": 0.0}
+    one, many = ({(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontam.matches(df, b, shard_bytes=size, **loose).collect()} for size in (8 << 20, 2000))
+    assert one.keys() == many.keys() and len(one) > 40
+    assert all(np.allclose(one[k], many[k]) for k in one)
+
+
 def test_wand_is_exact():
     rng = random.Random(0)
     vocabulary = [b"w%d" % i for i in range(60)]
