@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
+FEW_EDGES = 200_000
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -25,10 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores if it has fewer files than that: a file of one row group
+    is one task's work however many splits are planned for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a folder of its own; a cluster gets an error, as its executors
+    would each write to their own disks.
+    """
     own = spark.conf.get("spark.checkpoint.dir", None)
-    return own.rstrip("/") if own else "file:///tmp/checkpoints"
+    if own:
+        return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file:///tmp/checkpoints"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -50,6 +66,14 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts)
@@ -110,15 +134,42 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
     return edges
 
 
-def components(edges: DataFrame, a: str, b: str, label: str = "components") -> DataFrame:
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges (u, v) together."""
+    pairs = [np.stack([b.column("u").to_numpy(), b.column("v").to_numpy()], 1) for b in batches if b.num_rows]
+    if not pairs:
+        return
+    nodes, ends = np.unique(np.concatenate(pairs), return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    root = np.arange(nodes.size)
+    while True:  # the nodes are in order, so the least place is the least node
+        low = root[ends].min(1)
+        new = root.copy()
+        for end in (0, 1):
+            np.minimum.at(new, root[ends[:, end]], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    for k in range(0, nodes.size, 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 50_000]), pa.array(nodes[root[k : k + 50_000]])], ["node", "component"])
+
+
+def components(edges: DataFrame, a: str, b: str, label: str = "components", few: int = FEW_EDGES) -> DataFrame:
     """(node, component): the least node reachable by edges, for nodes that have any.
 
     Alternating large-star and small-star steps; every step is an aggregation (partial on the map
     side, so hubs are harmless) and a join that AQE may split. Each round is written to the shared
-    folder and the one before it deleted.
+    folder and the one before it deleted. At most `few` edges, as counted, are united by one task
+    instead: the same result in one step.
     """
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), label)
     sign = _sign(now)
+    if 0 < sign[0] <= few:
+        out = written(now.repartition(1).mapInArrow(_united, "node long, component long"), label)
+        forget(now)
+        return out
     while sign[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -7,27 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, embeddings, langid, pages, pieces, quality, secrets, simhash, suffixes, toxicity
-from .common import table
+from .common import spread, table
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffixes.remove_repeats(_documents(spark, sf_dir))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(_documents(spark, sf_dir))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(_documents(spark, sf_dir))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.classify(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,19 +39,19 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.matches(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(table(spark, sf_dir, "documents"))
+    return pieces.digests(_documents(spark, sf_dir))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extract(table(spark, sf_dir, "pages"))
+    return pages.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
