@@ -1,8 +1,11 @@
 """The text operators: plain versions on small tables, and the cases that tables bring."""
 
 import random
+import re
+import time
 from collections import Counter
 from hashlib import sha256
+from html import unescape
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -419,10 +422,38 @@ def test_pages(spark):
     assert out[1]["text"] == out[2]["text"] == out[5]["text"] == "" and out[1]["n_chars"] == 0
     assert out[3]["text"] == "just words <ok>" and out[4]["text"] == "a"
     for i, h in enumerate(html, len(made)):
-        inner = h.split("<article>")[1].split("</article>")[0]
-        assert out[i]["text"].split("\n\n")[0] in " ".join(pages.unescape(inner).split())
-        assert "var t" not in out[i]["text"] and out[i]["n_chars"] == len(out[i]["text"])
+        assert out[i]["text"] == plain_article(h) and out[i]["n_chars"] == len(out[i]["text"])
     assert pages.extract(df.limit(0)).collect() == []
+    again = pages.extract(df.where("page_id = 0").unionByName(df.where("page_id = 0")).withColumn("n_chars", F.lit(1))).collect()
+    assert [r["text"] for r in again] == [out[0]["text"]] * 2
+
+
+def plain_article(html):
+    """The blocks of a test page's article, cut out with patterns alone."""
+    inner = html.split("<article>")[1].split("</article>")[0].replace("<br>", " ")
+    blocks = [" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("Bare intro text of the article, long enough to matter. <p>Second paragraph of the article text.</p>", "Bare intro text of the article, long enough to matter.\n\nSecond paragraph of the article text."),
+        ('<body><table><tr><td><a href="/">Home</a> <a href="/b">Blog</a></td><td><p>First paragraph of the article, which is long enough.</p><p>Second paragraph of the article, long as well.</p></td></tr></table></body>', "First paragraph of the article, which is long enough.\n\nSecond paragraph of the article, long as well."),
+        ('<body><nav><a href="/">Home</a></nav><article><h1>Law</h1><p class="comment-on-law">The court held that the comment was lawful, and so on.</p><p>More of the text, which goes on here.</p></article><footer>imprint</footer></body>', "Law\n\nThe court held that the comment was lawful, and so on.\n\nMore of the text, which goes on here."),
+        ('<body><div id="hd">My site</div><div id="mnu"><a href=1>One</a><a href=2>Two</a><a href=3>Three</a></div><div id="x1"><h1>Headline of it</h1>First line of the story goes here, and is long.<br>Second line of the story, too.<p>A paragraph.</p></div><div class="footer">(c) 2020 Me</div></body>', "Headline of it\n\nFirst line of the story goes here, and is long. Second line of the story, too.\n\nA paragraph."),
+    ],
+)
+def test_layouts_that_the_writer_does_not_make(html, want):
+    assert pages.extract_all([html], pages.train()) == [want]
+
+
+@pytest.mark.parametrize("part", ['<a x="', "<b", '<a x="b" ', "</section>", "<div>", "<li>", '"<a \'', "<!--", "<title>", "<td><table>"])
+def test_pages_in_linear_time(part):
+    model = pages.train()
+    began = time.perf_counter()
+    pages.extract_all([part * (400_000 // len(part))], model)
+    assert time.perf_counter() - began < 8
 
 
 def test_open_paragraph_is_ended_at_any_depth():
@@ -431,31 +462,46 @@ def test_open_paragraph_is_ended_at_any_depth():
         div = page.tags.index("div")
         assert page.parents[div] == page.tags.index("body")
         assert [page.tags[page.parents[k]] for k, t in enumerate(page.tags) if t == "p"] == ["body", "div", "body"]
-        assert page.open_p == 0
+        assert not any(page.open.values()) or page.open["p"] == 0
 
 
-def test_no_contradictions():
+def test_decoding_is_the_best_without_contradictions():
+    """Against the best of all labellings: kept or dropped decides all below; mixed costs, and children decide."""
     rng = random.Random(5)
-    trees = pages.train()
-    for _ in range(40):
-        page = pages.Page(pages._Writer(rng).page())
-        rows, deciding = pages.features(page)
-        kept = pages.decode(page, deciding, rng.choice([trees.logits(rows), np.array([rng.uniform(-3, 3) for _ in deciding])]))
-        assert len(kept) == len(page.tags)
+    html = ["<div>a<p>b</p><p>c</p></div>", "<div><p>b</p><div><p>c</p><p>d</p></div></div><p>e</p>", "x<p>y</p>"]
+    for k in range(60):
+        page = pages.Page(html[k % 3])
+        _, deciding = pages.features(page, np.zeros(pages.BUCKETS))
+        logit = np.array([rng.uniform(-3, 3) for _ in deciding])
+        got = pages.decode(page, deciding, logit)
+        kids = {d: [x for x in deciding if page.parents[x] == d] for d in [0, *deciding]}
+        gain = {d: (-np.logaddexp(0, x), -np.logaddexp(0, -x)) for d, x in zip(deciding, logit, strict=True)}  # dropped, kept
+
+        def best(d, kids=kids, gain=gain):
+            """(value, leaves kept) of the best labelling below d."""
+
+            def whole(x, side):
+                below = [whole(y, side) for y in kids[x]]
+                return gain[x][side] + sum(v for v, _ in below), frozenset([x] if side and not below else []).union(*(s for _, s in below))
+
+            options = [whole(d, 0), whole(d, 1)]
+            if kids[d]:
+                below = [best(y) for y in kids[d]]
+                options.append((pages._MIXED + sum(v for v, _ in below), frozenset().union(*(s for _, s in below))))
+            return max(options, key=lambda o: o[0])
+
+        want = frozenset().union(*(best(d)[1] for d in kids[0]))
+        assert {d for d in deciding if not kids[d] and got[d]} == want
 
 
 def test_held_out_pages():
-    rng, trees, score = random.Random(77), pages.train(), Counter()
+    rng, model, score = random.Random(77), pages.train(), Counter()
     for _ in range(60):
         page = pages._Marked(pages._Writer(rng).page())
-        rows, deciding = pages.features(page)
-        kept = pages.decode(page, deciding, trees.logits(rows))
-        main = [False] * len(page.tags)
-        for k in range(1, len(page.tags)):
-            main[k] = page.marked[k] or (main[page.parents[k]] and page.tags[k] not in pages.BLOCK and not page.names[k])
-        for node, _, text in page.pieces:
+        kept = model.kept([page])[0]
+        for (node, _, text), written in zip(page.pieces, page.origin, strict=True):
             if text.strip():
-                score[kept[node], main[node]] += len(text)
+                score[kept[node], page.main[written]] += len(text)
     assert 2 * score[True, True] / (2 * score[True, True] + score[True, False] + score[False, True]) > 0.97
 
 
