@@ -18,7 +18,7 @@ from .common import chunks
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 _OWN = 1 << 21  # symbols from here on stand for a code point outside the vocabulary
-_LONG = 96  # longer segments go through the heap instead of the arrays
+_PLACE, _ID = (1 << 48) - 1, (1 << 32) - 1
 _KEPT, _KEPT_CHARS = 300_000, 8 << 20
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -97,17 +97,12 @@ class Vocabulary:
                 self.of_char[ord(c)] = s
         distinct = sorted({scores[i] for i in normal.values()}, reverse=True)
         rank_of = {s: r for r, s in enumerate(distinct)}
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}  # two symbols to the rank of their piece's score and its id
         for name, i in normal.items():
             for k in range(1, len(name)):
                 a, b = symbol.get(name[:k]), symbol.get(name[k:])
                 if a is not None and b is not None:
-                    self.pairs[a, b] = (rank_of[scores[i]], i)
-        keys = np.array([a << 32 | b for a, b in self.pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.ranks, self.merged = np.array(list(self.pairs.values()), np.int64).reshape(-1, 2)[order].T
-        self.none = np.int64(len(distinct) + 1)
+                    self.pairs[a << 32 | b] = rank_of[scores[i]] << 32 | i
         self.known: dict[str, int] = {}
         self.known_ids: list[bytes] = []
         self.known_text: list[bytes] = []
@@ -115,93 +110,51 @@ class Vocabulary:
         self.known_chars = 0
         self._library = None
 
-    def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], self.none), self.merged[at]
-
     def _agenda(self, symbols: list[int]) -> list[int]:
-        """Merge by a heap of adjacent pairs, best score first, then leftmost."""
+        """Merge by an agenda of adjacent pairs, best score first, then leftmost; one entry is a rank and a place."""
         n = len(symbols)
+        get = self.pairs.get
+        heap = [(found >> 32) << 48 | k for k in range(n - 1) if (found := get(symbols[k] << 32 | symbols[k + 1])) is not None]
+        if not heap:
+            return symbols
+        heapq.heapify(heap)
+        push, pop = heapq.heappush, heapq.heappop
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and (found := self.pairs.get((symbols[a], symbols[b]))):
-                heapq.heappush(heap, (found[0], a, b, symbols[a], symbols[b]))
-
-        for k in range(n - 1):
-            offer(k, k + 1)
         while heap:
-            _, a, b, left, right = heapq.heappop(heap)
-            if symbols[a] != left or symbols[b] != right or after[a] != b:
-                continue  # one of the two has merged meanwhile
-            symbols[a], symbols[b] = self.pairs[left, right][1], -1
-            after[a] = after[b]
-            if after[b] >= 0:
-                before[after[b]] = a
-            offer(before[a], a)
-            offer(a, after[a])
+            entry = pop(heap)
+            a = entry & _PLACE
+            b = after[a]
+            if b < 0 or symbols[a] < 0:
+                continue  # merged into another meanwhile
+            found = get(symbols[a] << 32 | symbols[b])
+            if found is None or found >> 32 != entry >> 48:
+                continue  # the pair is another meanwhile, with an entry of its own
+            symbols[a], symbols[b] = found & _ID, -1
+            c = after[a] = after[b]
+            if c >= 0:
+                before[c] = a
+                if (found := get(symbols[a] << 32 | symbols[c])) is not None:
+                    push(heap, (found >> 32) << 48 | a)
+            p = before[a]
+            if p >= 0 and (found := get(symbols[p] << 32 | symbols[a])) is not None:
+                push(heap, (found >> 32) << 48 | p)
         return [s for s in symbols if s >= 0]
 
-    def _merge_all(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[list[int], list[int]]:
-        """The same order for many short segments at once: in each round every segment makes its best merge.
-
-        Gives the final symbols of all segments, and where each segment's begin.
-        """
-        owner = np.repeat(np.arange(sizes.size), sizes)
-        done_s, done_o = [], []
-        rank, into = self._adjacent(symbols, owner)
-        while symbols.size:
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            spot = rank * symbols.size + np.arange(symbols.size)
-            best = np.minimum.reduceat(spot, starts)
-            live = best < self.none * symbols.size
-            going = np.repeat(live, np.diff(np.r_[starts, symbols.size]))
-            if not going.all():
-                done_s.append(symbols[~going])
-                done_o.append(owner[~going])
-            if not live.any():
-                break
-            at = best[live] % symbols.size
-            symbols[at] = into[at]
-            keep = going
-            keep[at + 1] = False
-            moved = np.cumsum(keep)[at] - 1
-            symbols, owner, rank, into = symbols[keep], owner[keep], rank[keep], into[keep]
-            for k in (moved, moved[moved > 0] - 1):
-                nxt = np.minimum(k + 1, symbols.size - 1)
-                r, m = self._rank(symbols[k], symbols[nxt])
-                rank[k] = np.where((owner[nxt] == owner[k]) & (nxt != k), r, self.none)
-                into[k] = m
-        symbols, owner = np.concatenate(done_s), np.concatenate(done_o)
-        order = np.argsort(owner, kind="stable")
-        return symbols[order].tolist(), np.cumsum(np.r_[0, np.bincount(owner, minlength=sizes.size)]).tolist()
-
-    def _adjacent(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rank, into = np.full(symbols.size, self.none), np.zeros(symbols.size, np.int64)
-        if symbols.size > 1:
-            r, m = self._rank(symbols[:-1], symbols[1:])
-            rank[:-1] = np.where(owner[1:] == owner[:-1], r, self.none)
-            into[:-1] = m
-        return rank, into
-
     def _learn(self, keys: list[str]) -> None:
         """Encode segments not met before; each is a space and a word. All are checked against the library."""
-        final: list[list[int]] = [[]] * len(keys)
-        short = [i for i, k in enumerate(keys) if len(k) < _LONG]
-        for a in range(0, len(short), 20_000):
-            some = short[a : a + 20_000]
-            points = self.of_char[np.frombuffer("".join([SPACE + keys[i] for i in some]).replace(" ", SPACE).encode("utf-32-le"), np.uint32)]
-            flat, cuts = self._merge_all(points, np.array([len(keys[i]) + 1 for i in some]))
-            for i, x, y in zip(some, cuts, cuts[1:], strict=False):
-                final[i] = flat[x:y]
-        for i, key in enumerate(keys):
-            if len(key) >= _LONG:
-                final[i] = self._agenda(self.of_char[np.frombuffer((SPACE + key).replace(" ", SPACE).encode("utf-32-le"), np.uint32)].tolist())
-            if max(final[i]) >= _OWN:
-                final[i] = [x for s in final[i] for x in ([s] if s < _OWN else [self.bytes_at[b] for b in chr(s - _OWN).encode()])]
+        final: list[list[int]] = []
+        agenda, size = self._agenda, len(self.names)
+        for x in range(0, len(keys), 20_000):
+            some = keys[x : x + 20_000]
+            points = self.of_char[np.frombuffer("".join([SPACE + k for k in some]).replace(" ", SPACE).encode("utf-32-le"), np.uint32)].tolist()
+            at = 0
+            for key in some:
+                end = at + len(key) + 1
+                ids = agenda(points[at:end])
+                at = end
+                if max(ids) >= size:  # code points outside the vocabulary fall back to bytes
+                    ids = [y for s in ids for y in ([s] if s < size else [self.bytes_at[b] for b in chr(s - _OWN).encode()])]
+                final.append(ids)
         decimal, text = self.decimal.__getitem__, self.raw.__getitem__
         start = len(self.known_ids)
         self.known.update(zip(keys, range(start, start + len(keys)), strict=True))
@@ -279,6 +232,9 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs; null is empty, an empty text has no ids.
 
+    Rows that repeat a doc_id, or have none, each have a row; an empty table gives an empty result; other
+    columns are ignored. Texts of any length are encoded whole; time is linear in a text but for the heap's depth.
+
     Each distinct segment is checked against the library when it is first met in a process, and one whole
     text of each chunk of an Arrow batch is checked end to end, ids and decoded text.
     `path` is looked up on the executors when not given.
@@ -304,7 +260,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids, decoded): the ids themselves and the text that they decode to; rules as in digests()."""
+    """(doc_id, ids, decoded): the ids themselves and the text that they decode to; rows and edge cases as in digests()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path or model_path())

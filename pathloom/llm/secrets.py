@@ -112,23 +112,31 @@ def _fdr(tests: list[tuple[float, int]], rate: float) -> list[bool]:
     return [i in kept for i in range(len(tests))]
 
 
-def spans(text: str, rate: float = 1e-4, alpha: float = 1e-3) -> list[tuple[int, int, str]]:
+def spans(text: str, rate: float = 1e-4, alpha: float = 1e-3, doubt: float = 0.05) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets of a whole text, by start, then kind as in KINDS.
 
-    The fixed patterns come first and always stay. A further token is found if it is like a uniform draw
-    (`alpha`) and unlike ordinary text, at false-discovery rate `rate` among the text's tokens.
+    The fixed patterns come first and always stay. A further token (20 characters or more of one of the
+    alphabets, none of them in a fixed span) gets the battery's p-value under uniform draws and its p-value as
+    ordinary text. Below `alpha` the battery rules it out; below `doubt` it takes evidence away in
+    proportion. What is left is the value whose false-discovery rate is held at `rate` among the text's tokens.
+    Time is linear in the text's length.
     """
     out = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     out += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text)]
     out += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
+    fixed = sorted((a, b) for a, b, _ in out)
+    at = reach = 0  # fixed spans that start before the token's end, and how far they go
     found = []
     for m in _TOKEN.finditer(text):
-        token = m.group()
-        if any(a < m.end() and m.start() < b for a, b, _ in out):
-            continue
-        found.append((m, ordinary(token)))
+        while at < len(fixed) and fixed[at][0] < m.end():
+            reach = max(reach, fixed[at][1])
+            at += 1
+        if reach <= m.start():
+            tested = uniformity(m.group())
+            q = tested[1] if tested else 0.0
+            found.append((m, min(1.0, ordinary(m.group()) / min(1.0, q / doubt)) if q >= alpha else 1.0))
     for (m, _), hit in zip(found, _fdr([(p, m.end() - m.start()) for m, p in found], rate), strict=True):
-        if hit and (tested := uniformity(m.group())) and tested[1] >= alpha:
+        if hit:
             out.append((m.start(), m.end(), "random"))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -138,7 +146,11 @@ def _join(found: list[tuple[int, int, str]]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) for each row of docs; null is empty."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) for each row of docs; see spans().
+
+    Null and empty texts have no spans; rows that repeat a doc_id, or have none, each have a row; an empty
+    table gives an empty result; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +168,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every secret of `text` replaced by the mark; overlapping secrets become one mark. Nulls stay."""
+    """docs with every secret of `text` replaced by the mark; overlapping secrets become one mark.
+
+    Null and empty texts, rows without secrets, repeated rows and all other columns stay as they are."""
     schema = T.StructType(docs.schema.fields)
     place = docs.columns.index("text")
 
