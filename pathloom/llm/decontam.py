@@ -18,6 +18,7 @@ _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() el
 K1, B = 1.2, 0.75
 SHARD_BYTES = 8 << 20
 SHINGLE = 5
+BLOCK = 8  # items that share a bound
 _END = re.compile(rb"[.?!:]\s+|\n")
 
 
@@ -44,7 +45,7 @@ def shingles(tokens: list[bytes]) -> set[tuple[bytes, ...]]:
 class Index:
     """Inverted index of one shard of items. Impacts are BM25 weights as shares of the item's score against itself."""
 
-    item_ids: list[int]
+    item_ids: list[int | None]
     tokens: list[list[bytes]]
     question: list[list[bytes]]
     answer: list[list[bytes]]
@@ -53,11 +54,13 @@ class Index:
     items: np.ndarray
     impacts: np.ndarray
     most: np.ndarray  # each term's largest impact
-    block_most: list[np.ndarray]  # and that of each block of its postings
+    range_start: np.ndarray  # of each term's ranges of `block` items
+    ranges: np.ndarray
+    range_most: np.ndarray  # the term's largest impact in each of them
     rest: float  # what the terms without postings in `open` can add to any item, at most
-    open: np.ndarray  # whether a term's postings are expanded before WAND
+    open: np.ndarray  # whether a term counts before WAND
     longest: int
-    block: int = 64
+    block: int = BLOCK
 
 
 @dataclass
@@ -70,7 +73,7 @@ class Whole:
     df: dict[bytes, int]  # of the shard's terms at least
 
 
-def build(items: list[tuple[int, bytes]], share: float = 0.15, whole: Whole | None = None) -> Index:
+def build(items: list[tuple[int | None, bytes]], share: float = 0.15, whole: Whole | None = None) -> Index:
     """Items without a word are left out: nothing can hold them. Without `whole`, the items are the whole benchmark."""
     parted = [(i, words(t), *question_answer(t)) for i, t in items]
     parted = [p for p in parted if p[1]]
@@ -96,7 +99,9 @@ def build(items: list[tuple[int, bytes]], share: float = 0.15, whole: Whole | No
     start = np.searchsorted(term, np.arange(len(vocabulary) + 1))
     of, impacts = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
     most = np.maximum.reduceat(impacts, start[:-1]) if len(rows) else np.zeros(0)
-    block_most = [np.maximum.reduceat(impacts[a:b], np.arange(0, b - a, 64)) for a, b in zip(start, start[1:], strict=False)]
+    first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (of[1:] // BLOCK != of[:-1] // BLOCK)]) if len(rows) else np.zeros(0, np.int64)
+    range_most = np.maximum.reduceat(impacts, first) if len(rows) else np.zeros(0)
+    range_start = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))
     left, closed = np.zeros(n), np.zeros(len(vocabulary), bool)
     for t in np.argsort(-df, kind="stable"):  # the commonest terms, as long as together they cannot decide
         a, b = start[t], start[t + 1]
@@ -104,56 +109,71 @@ def build(items: list[tuple[int, bytes]], share: float = 0.15, whole: Whole | No
             break
         left[of[a:b]] += impacts[a:b]
         closed[t] = True
-    return Index([p[0] for p in parted], [p[1] for p in parted], [p[2] for p in parted], [p[3] for p in parted], vocabulary, start, of, impacts, most, block_most, float(left.max(initial=0)), ~closed, longest)
+    return Index([p[0] for p in parted], [p[1] for p in parted], [p[2] for p in parted], [p[3] for p in parted], vocabulary, start, of, impacts, most, range_start, of[first] // BLOCK, range_most, float(left.max(initial=0)), ~closed, longest)
 
 
-def wand(index: Index, terms: np.ndarray, threshold: float) -> dict[int, float]:
-    """All items whose score against the distinct terms is at least the threshold, by block-max WAND."""
-    start, items, impacts, size = index.start, index.items, index.impacts, index.block
-    cursors = [[int(start[t]), int(start[t + 1]), int(t), float(index.most[t])] for t in terms.tolist()]
-    cursors = [c for c in cursors if c[0] < c[1]]
-    found: dict[int, float] = {}
+def wand(index: Index, terms: np.ndarray, threshold: float, ranges: np.ndarray | None = None) -> dict[int, float]:
+    """All items whose score against the distinct terms is at least the threshold, by block-max WAND.
+
+    The bounds of ranges of items (`ranges`, or all) prune first; in a range that is left, cursors on the
+    terms' postings move to the pivot, the first item that the largest impacts there could lift to the threshold.
+    """
     low = threshold - 1e-9
-    while cursors:
-        cursors.sort(key=lambda c: items[c[0]])
-        bound, pivot = 0.0, -1
-        for k, c in enumerate(cursors):
-            bound += c[3]
-            if bound >= low:
-                pivot = k
+    lists: dict[int, list[tuple[int, float]]] = {}
+    wanted = None if ranges is None else set(ranges.tolist())
+    for t in terms.tolist():
+        for k in range(int(index.range_start[t]), int(index.range_start[t + 1])):
+            r = int(index.ranges[k])
+            if wanted is None or r in wanted:
+                lists.setdefault(r, []).append((t, float(index.range_most[k])))
+    found: dict[int, float] = {}
+    for r, own in lists.items():
+        if sum(most for _, most in own) < low:
+            continue
+        cursors = []
+        for t, most in own:
+            a, b = int(index.start[t]), int(index.start[t + 1])
+            lo = a + int(np.searchsorted(index.items[a:b], r * index.block))
+            hi = a + int(np.searchsorted(index.items[a:b], (r + 1) * index.block))
+            cursors.append((index.items[lo:hi].tolist(), index.impacts[lo:hi].tolist(), most))
+        place = [0] * len(cursors)
+        order = list(range(len(cursors)))
+        while order:
+            order.sort(key=lambda k: cursors[k][0][place[k]])
+            bound, pivot = 0.0, -1
+            for k in order:
+                bound += cursors[k][2]
+                if bound >= low:
+                    pivot = cursors[k][0][place[k]]
+                    break
+            if pivot < 0:
                 break
-        if pivot < 0:
-            break
-        at = items[cursors[pivot][0]]
-        while pivot + 1 < len(cursors) and items[cursors[pivot + 1][0]] == at:
-            pivot += 1
-        ahead = cursors[: pivot + 1]
-        shallow, ends = 0.0, []
-        for c in ahead:  # the largest impacts of the blocks in which the pivot would be
-            p = c[0] + int(np.searchsorted(items[c[0] : c[1]], at))
-            if p < c[1]:
-                k = (p - int(start[c[2]])) // size
-                shallow += float(index.block_most[c[2]][k])
-                ends.append(int(items[min(int(start[c[2]]) + (k + 1) * size, c[1]) - 1]))
-        if shallow < low:
-            to = min([*ends, at]) + 1 if len(ends) == len(ahead) else at + 1
-            to = max(to, at + 1)
-            if pivot + 1 < len(cursors):
-                to = min(to, max(int(items[cursors[pivot + 1][0]]), at + 1))
-        elif items[ahead[0][0]] == at:
-            score = float(sum(impacts[c[0]] for c in ahead))
-            if score >= low:
-                found[int(at)] = score
-            to = at + 1
-        else:
-            to = at
-        for c in ahead:
-            if items[c[0]] < to:
-                c[0] += int(np.searchsorted(items[c[0] : c[1]], to))
-        cursors = [c for c in cursors if c[0] < c[1]]
+            if cursors[order[0]][0][place[order[0]]] == pivot:
+                score = 0.0
+                for k in order:
+                    items, impacts, _ = cursors[k]
+                    if items[place[k]] != pivot:
+                        break
+                    score += impacts[place[k]]
+                    place[k] += 1
+                if score >= low:
+                    found[pivot] = score
+            else:
+                for k in order:
+                    items = cursors[k][0]
+                    while place[k] < len(items) and items[place[k]] < pivot:
+                        place[k] += 1
+            order = [k for k in order if place[k] < len(cursors[k][0])]
     return found
 
 
+def _grouped(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Values of each key; keys are in order."""
+    if keys.size:
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        yield from zip(keys[first].tolist(), np.split(values, first[1:]), strict=True)
+
+
 def overlap(index: Index, item: int, passage: list[bytes]) -> tuple[float, float, float]:
     """Shares of the item's word shingles, of its question's, and of its answer's words, that the passage has."""
     own = shingles(passage)
@@ -190,26 +210,26 @@ def search(index: Index, texts: list[bytes], threshold: float) -> list[list[tupl
     owner = np.repeat(np.arange(len(texts)), blocks)
     pairs = np.r_[owner[1:] == owner[:-1], False]
     least = threshold - index.rest - 1e-9
-    # first bound: the largest impacts of the distinct terms of a window's two blocks
+    # the largest impacts of the distinct terms of a window's two blocks: a passage below is not worth a query
     met = np.unique(block[hit] * size + ids[hit])
     of, term = met // size, met % size
     bound = np.bincount(of, index.most[term], n)
     hot = bound + np.where(pairs, np.r_[bound[1:], 0.0], 0.0) >= least
-    # second bound: for each item, the impacts of the distinct terms of the whole window
+    # block maxima: for each range of items, the largest impacts there of the distinct terms of the whole passage
     here, before = hot[of], np.r_[False, hot[:-1] & pairs[:-1]][of]
     met = np.unique(np.concatenate([met[here], met[before] - size]))
     of, term = met // size, met % size
-    runs = index.start[term + 1] - index.start[term]
-    at = np.repeat(index.start[term] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
-    width = len(index.item_ids)
-    cells, where = np.unique(np.repeat(of, runs) * width + index.items[at], return_inverse=True)
-    some = np.unique(cells[np.bincount(where, index.impacts[at], cells.size) >= least] // width)
-    for b in some.tolist():
+    runs = index.range_start[term + 1] - index.range_start[term]
+    at = np.repeat(index.range_start[term] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+    width = -(-len(index.item_ids) // index.block)
+    cells, where = np.unique(np.repeat(of, runs) * width + index.ranges[at], return_inverse=True)
+    open_cells = cells[np.bincount(where, index.range_most[at], cells.size) >= least]
+    for b, ranges in _grouped(open_cells // width, open_cells % width):
         d = int(owner[b])
         a = (b - int(block_first[d])) * span
         passage = tokens[d][a : a + 2 * span]
         terms = ids[first[d] + a : first[d] + min(a + 2 * span, int(sizes[d]))]
-        for item, score in wand(index, np.unique(terms[terms >= 0]), threshold).items():
+        for item, score in wand(index, np.unique(terms[terms >= 0]), threshold, ranges).items():
             out[d].append((item, score, *overlap(index, item, passage)))
     return out
 
@@ -221,7 +241,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least
     of the item's five-word shingles and of its answer's words, and `least_question` of its question's
     shingles (shorter texts: their whole sequence). One row for each document and item, with its best passage.
     Null and empty texts and items match nothing; documents without a match have no row; rows repeat with
-    repeated doc_ids. The index is sent to executors in shards of items of at most `shard_bytes` of text
+    repeated doc_ids, and each item of a repeated or null item_id counts for itself. An empty table on
+    either side gives an empty result; other columns are ignored. The index is sent to executors in shards of items of at most `shard_bytes` of text
     each (one item at least), one pass over the documents for each shard.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -248,7 +269,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least: float = 0.8, least_question: float = 0.5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs without the rows that hold a test item, by the rules of matches(); all columns stay."""
+    """docs without the rows that hold a test item, by the rules of matches(); all columns, null and empty texts stay."""
     schema = T.StructType(docs.schema.fields)
     for index in _shards(benchmark, shard_bytes):
 
@@ -285,7 +306,8 @@ def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[Index]:
         if df is not None:
             found = df.join(own.select("text").mapInArrow(_terms, "word binary").distinct(), "word", "left_semi").toArrow()
             whole = Whole(sizes["n"] or 0, (sizes["words"] or 0) / max(1, sizes["n"] or 0), sizes["longest"] or 1, dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True)))
-        yield build(sorted((r["item_id"], r["text"].encode()) for r in own.select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), "text").collect()), whole=whole)
+        found = [(r["item_id"], r["text"].encode()) for r in own.select("item_id", "text").collect()]
+        yield build(sorted(found, key=lambda x: (x[0] is None, x[0] or 0, x[1])), whole=whole)
     if df is not None:
         forget(df)
 

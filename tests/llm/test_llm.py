@@ -346,13 +346,51 @@ def test_decontamination(spark, table):
     texts = [t or "" for t in table["text"][:60]] + [f"{table['text'][3]} {t} {table['text'][4]}" for _, t in items[:15]] + [items[0][1].upper(), "x " * 500 + items[1][1]]
     df = documents(spark, texts)
     b = spark.createDataFrame(items, "item_id long, text string")
-    want = {(d, i) for d, t in enumerate(texts) for i, s in items if " ".join(map(bytes.decode, decontam.words(s.encode()))) in " ".join(map(bytes.decode, decontam.words(t.encode())))}
+    want = plain_matches(texts, items)
+    assert len(want) >= 17
     for size in (8 << 20, 2000):
-        got = {(r["doc_id"], r["item_id"]) for r in decontam.matches(df, b, shard_bytes=size).collect()}
-        assert got >= want and len(got - want) <= 2
+        got = {(r["doc_id"], r["item_id"]): r for r in decontam.matches(df, b, shard_bytes=size).collect()}
+        assert set(got) == set(want)
+        for k, r in got.items():
+            assert (r["score"], r["overlap"], r["question_overlap"], r["answer_overlap"]) == pytest.approx(want[k])
         assert {d for d, _ in got} | {r["doc_id"] for r in decontam.clean(df, b, shard_bytes=size).collect()} == set(range(len(texts)))
 
 
+def plain_matches(texts, items):
+    """Every passage scored against every item, by the formulas of matches()."""
+    parsed = [(i, decontam.words(t.encode()), *decontam.question_answer(t.encode())) for i, t in items]
+    parsed = [p for p in parsed if p[1]]
+    mean, span = sum(len(p[1]) for p in parsed) / len(parsed), max(len(p[1]) for p in parsed)
+    df = Counter(w for p in parsed for w in set(p[1]))
+    idf = {w: np.log(1 + (len(parsed) - c + 0.5) / (c + 0.5)) for w, c in df.items()}
+    weights = []
+    for _, tokens, _, _ in parsed:
+        own = {w: idf[w] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(tokens) / mean)) for w, c in Counter(tokens).items()}
+        total = sum(own.values())
+        weights.append({w: x / total for w, x in own.items()})
+    sh = lambda x, n=5: {tuple(x[k : k + n]) for k in range(len(x) - n + 1)} if len(x) >= n else {tuple(x)} if x else set()
+    share = lambda a, b: len(a & b) / len(a) if a else 1.0
+    out = {}
+    for d, text in enumerate(texts):
+        tokens = decontam.words(text.encode())
+        for a in range(0, len(tokens), span):
+            passage = tokens[a : a + 2 * span]
+            have = set(passage)
+            for (i, whole, question, answer), weight in zip(parsed, weights, strict=True):
+                score = sum(x for w, x in weight.items() if w in have)
+                if score >= 0.6 - 1e-9:
+                    values = (score, *(share(sh(x), sh(passage, min(5, len(x)))) for x in (whole, question)), share(set(answer), have))
+                    if values[1] >= 0.8 and values[2] >= 0.5 and values[3] >= 0.8:
+                        out[d, i] = max(out.get((d, i), (0,)), values)
+    return out
+
+
+def test_null_item_ids(spark):
+    df = documents(spark, ["the quick brown fox jumps over the lazy dog today", "nothing of the kind"])
+    b = spark.createDataFrame([(None, "the quick brown fox jumps over"), (-1, "fox jumps over the lazy dog today"), (-1, "words that nobody wrote here ever")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.matches(df, b).collect()} == {(0, None), (0, -1)}
+
+
 def test_shards_of_the_benchmark_change_nothing(spark, table):
     bench = pq.read_table(f"{SF}/benchmark.parquet").to_pydict()
     items = [*zip(bench["item_id"], bench["text"], strict=True), (900, None), (901, "!!"), (902, " ".join(t for t in table["text"][7:9])[:3000])]
