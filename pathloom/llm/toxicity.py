@@ -16,7 +16,7 @@ from .common import chunks, fold
 
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 5000
 WINDOWS = 60_000  # of eight words, that the ordinary dictionary is trained on
-SIZE = 32768  # bytes of each part of the dictionaries
+SIZE = 32768  # bytes of the ordinary dictionary; the toxic one may have four times as many
 _CLEAN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 _SPELLED = [sha256(bytes([c])).digest()[:3] for c in range(256)]  # a byte as three, so that short words weigh enough
 _STEPS = (1, 2, 4, 6, 8, 10, 12)
@@ -34,9 +34,9 @@ def _window(word: bytes) -> bytes:
 
 
 class Dictionaries:
-    """Two dictionaries trained on windows of ordinary text; the toxic one also holds those of toxic text.
+    """Two dictionaries, trained on windows of ordinary and of toxic text; a window is compressed with the first, and with both.
 
-    Both share the ordinary part, so ordinary windows cost the same under either, and what a window saves
+    Both ways share the ordinary part, so ordinary windows cost the same under either, and what a window saves
     under the toxic dictionary measures how near it is to toxic text.
     """
 
@@ -45,7 +45,7 @@ class Dictionaries:
         self._open()
 
     def _open(self) -> None:
-        how = dict(window_log=17, chain_log=16, hash_log=16, search_log=6, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+        how = dict(window_log=18, chain_log=17, hash_log=17, search_log=6, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
         self._size = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_FULLDICT), compression_params=zstandard.ZstdCompressionParameters(**how)).compress for x in (self.ordinary, self.ordinary + self.toxic)]
         self._key = sha256(b"%d:" % len(self.ordinary) + self.ordinary + self.toxic).digest()
 
@@ -87,29 +87,35 @@ class Dictionaries:
         return np.concatenate([np.log1p(x), np.sqrt(x / saved.size), [saved.max(), best.mean(), np.sqrt(np.maximum(saved - 1, 0).mean()), np.log1p(saved.size), ratio.max()]])
 
 
-def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int = SIZE, seed: int = 0, windows: int = WINDOWS) -> Dictionaries:
-    """The ordinary part is trained on ordinary windows of eight words; the toxic part is the windows that
-    recur in toxic texts and hardly occur in ordinary ones, commonest last, where matches cost least.
+def trained(samples: list[bytes], size: int, segment: int, match: int) -> bytes:
+    """A dictionary that zstandard trains on the samples, of segments of about so many bytes; b"" where they are too few."""
+    for want in (size, size // 4, size // 16, 1024, 512, 256):
+        try:
+            return zstandard.train_dictionary(want, samples, k=segment, d=match).as_bytes()
+        except zstandard.ZstdError:
+            continue
+    return b""
 
-    zstandard trains only the ordinary part, on at most `windows` windows drawn at random. The toxic part is a
-    selected list of words: in three toxic texts or more, odds above 8, 64 bytes or less, the commonest that
-    fill `size` bytes.
-    """
-    many = [b"".join(_window(w)[3:] for w in t[i : i + 8]) for t in ordinary for i in range(0, len(t), 8)]
-    many = [many[i] for i in np.random.default_rng(seed).permutation(len(many))[:windows]]
-    try:
-        base = zstandard.train_dictionary(size, many).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        base = zstandard.train_dictionary(1024, [(b"%d " % i) * 8 for i in range(2000)]).as_bytes()
+
+def typical(toxic: list[list[bytes]], ordinary: list[list[bytes]], odds: float = 8.0, texts: int = 3) -> list[bytes]:
+    """The windows of toxic texts that a toxic dictionary is to hold: met in `texts` of them or more, at `odds` or
+    more against ordinary texts, at most 64 bytes; as often as toxic texts have them, up to 50 times."""
     plus, minus = Counter(w for t in toxic for w in set(t)), Counter(w for t in ordinary for w in set(t))
-    odds = {w: c / max(1, len(toxic)) / ((minus[w] + 0.3) / max(1, len(ordinary))) for w, c in plus.items() if c >= 3}
-    chosen = sorted((w for w, o in odds.items() if o > 8 and len(w) <= 64), key=lambda w: (-plus[w], w))
-    content = b""
-    for w in chosen:
-        content = _window(w) + content
-        if len(content) > size:
-            break
-    return Dictionaries(base, content)
+    share = lambda w, c: c / max(1, len(toxic)) / ((minus[w] + 0.3) / max(1, len(ordinary)))
+    return [_window(w) for w, c in sorted(plus.items()) if c >= texts and len(w) <= 64 and share(w, c) > odds for _ in range(c)]
+
+
+def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int = SIZE, seed: int = 0, windows: int = WINDOWS) -> Dictionaries:
+    """zstandard trains both: the ordinary dictionary on at most `windows` windows of eight words of ordinary
+    texts drawn at random, the toxic one on the windows that are typical() of toxic texts, in pairs. They have at
+    most `size` and 4 * `size` bytes."""
+    rng = np.random.default_rng(seed)
+    many = [b"".join(_window(w)[3:] for w in t[i : i + 8]) for t in ordinary for i in range(0, len(t), 8)]
+    many = [many[i] for i in rng.permutation(len(many))[:windows]]
+    plain = [(b"%d " % i) * 8 for i in range(2000)]  # where there is too little text to train on
+    own = typical(toxic, ordinary)
+    own = [b"".join(own[i] for i in part) for part in np.array_split(rng.permutation(len(own)), max(1, len(own) // 2))] if own else []
+    return Dictionaries(trained(many, size, 200, 8) or trained(plain, 1024, 200, 8), trained(own, 4 * size, 256, 6))
 
 
 class Model:
@@ -170,7 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE,
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of docs, null as empty; without a model every score is 0."""
+    """(doc_id, held_out, score, predicted) for each row of docs, null as empty; without a model every score is 0.
+
+    Whole texts are scored, empty ones too. Rows that repeat a doc_id each have a row; a null doc_id is not
+    held out and not learned from; an empty table gives an empty result; other columns are ignored.
+    """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     model = train(docs, labels)
     if model is None:

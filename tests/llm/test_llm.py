@@ -12,6 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from pathloom.llm import boost, common, decontam, embeddings, langid, pages, pieces, quality, queries, secrets, simhash, suffixes, toxicity
@@ -243,12 +244,38 @@ def test_toxicity_held_out(table):
     assert 0 <= model.score([""])[0] <= 1
 
 
-def test_toxicity_bounds_are_parameters():
+def test_toxicity_dictionaries_are_trained_and_bounded():
     toxic = ["bad%d worse%d" % (i % 300, i % 300) for i in range(1200)]
     ordinary = ["plain words in line %d" % i for i in range(2000)]
-    small = toxicity.fit(toxic, ordinary, 0.3, folds=2, windows=100, size=2048).dictionaries
-    large = toxicity.fit(toxic, ordinary, 0.3, folds=2).dictionaries
-    assert 2048 < len(small.toxic) < 2048 + 3 * 66 and len(large.toxic) > 2 * len(small.toxic)
+    small, large = (toxicity.fit(toxic, ordinary, 0.3, folds=2, **k).dictionaries for k in ({"windows": 100, "size": 2048}, {}))
+    assert len(small.ordinary) <= 2048 and len(small.toxic) <= 8192 < len(large.toxic)
+    for d in (small.ordinary, small.toxic, large.ordinary, large.toxic):
+        assert zstandard.ZstdCompressionDict(d).dict_id()  # zstandard's own format, not a list of words
+
+
+def test_toxicity_savings_are_compression_lengths():
+    d = toxicity.fit(["bad%d worse%d" % (i % 30, i % 30) for i in range(300)], ["plain words in line %d" % (i % 90) for i in range(600)], 0.3, folds=2).dictionaries
+    words = toxicity.words("a bad7 worse7 plain line of words badly worse")
+    saved, size = d.savings(words)
+    for w, s, n in zip(words, saved, size, strict=True):
+        window = b"".join(sha256(bytes([c])).digest()[:3] for c in b" " + w + b" ")
+        lengths = []
+        for content in (d.ordinary, d.ordinary + d.toxic):
+            how = zstandard.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=17, search_log=6, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+            own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_FULLDICT)
+            out = zstandard.ZstdCompressor(dict_data=own, compression_params=how).compress(window)
+            assert zstandard.ZstdDecompressor(dict_data=own).decompress(out, max_output_size=1 << 16) == window
+            lengths.append(len(out))
+        assert (s, n) == (max(0, lengths[0] - lengths[1]), lengths[0])
+    assert saved[1] > 2 and saved[2] > 2 and saved[3] == 0
+
+
+def test_toxicity_learns_from_its_folds_alone(spark):
+    docs = common.table(spark, SF, "documents")
+    own = common.table(spark, SF, "labels")
+    flipped = own.withColumn("toxic", F.when(common.fold("doc_id", 4) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = ({r["doc_id"]: r["score"] for r in toxicity.classify(docs.withColumn("lang", F.lit(x)), y).collect()} for x, y in (("en", own), (None, flipped)))
+    assert one == two
 
 
 def test_class_prior_without_negatives():
