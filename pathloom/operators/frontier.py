@@ -37,12 +37,12 @@ def extend(db: Database, frontier: DataFrame, edge: Edge, distinct: bool = True,
     target = db.meta(dst)
     carry = [F.col(target.time).alias("_time")] if target.time else []
     if is_reverse(rel):
-        rows = db.read(dst).select(F.col(column).cast("long").alias("last_id"), db.row_id(dst).alias("_next"), *carry)
+        rows = db.keyed(dst).select(F.col(column).cast("long").alias("last_id"), F.col("_rowid").alias("_next"), *carry)
         joined = frontier.join(rows, "last_id")
     else:
         if not target.pk:
             raise ValueError(f"{dst} has no primary key to follow {rel} to")
-        keys = db.read(src).select(db.row_id(src).alias("last_id"), F.col(column).cast("long").alias("_next"))
+        keys = db.keyed(src).select(F.col("_rowid").alias("last_id"), F.col(column).cast("long").alias("_next"))
         joined = frontier.join(keys, "last_id")
         parent = db.read(dst).select(F.col(target.pk).cast("long").alias("_next"), *carry)
         joined = joined.join(parent, "_next") if target.time else joined.join(parent, "_next", "left_semi")

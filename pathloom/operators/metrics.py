@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cut import cut
+from .seeds import quantiles, sliced
+
 
 def micro_f1(df: DataFrame) -> DataFrame:
     return df.agg(F.avg((F.col("pred") == F.col("y")).cast("double")).alias("micro_f1"))
@@ -13,7 +16,7 @@ def micro_f1(df: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, score: str = "score") -> DataFrame:
     """(auc) from average ranks. Rows meet as distinct scores with their counts, summed from below in slices of
     the score, so ties and size do not bring all rows into one task."""
-    by = df.groupBy(score).agg(F.sum(F.col("y").cast("long")).alias("p"), F.count("*").alias("n"))
+    by = cut(df.groupBy(score).agg(F.sum(F.col("y").cast("long")).alias("p"), F.count("*").alias("n")))
     cuts = by.agg(F.percentile_approx(score, [k / 32 for k in range(1, 32)], 1000).alias("q")).first()["q"] or []
     part = sum((F.when(F.col(score) > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
     sliced = by.withColumn("_s", part)
@@ -29,6 +32,50 @@ def roc_auc(df: DataFrame, score: str = "score") -> DataFrame:
     return sums.select(F.when((pos > 0) & (neg > 0), (F.col("r") - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
 
 
+def average_precision(df: DataFrame, score: str = "score") -> DataFrame:
+    """(auprc): precision at each distinct score, weighted by the recall that it adds; null without positives.
+
+    Distinct scores meet in slices, as in roc_auc().
+    """
+    by = cut(df.groupBy(score).agg(F.sum(F.col("y").cast("long")).alias("p"), F.count("*").alias("n")))
+    out, _, _ = sliced(by.withColumn("_lead", -F.col(score)), "_lead")
+    sums = {r["_slice"]: (r["p"], r["n"]) for r in out.groupBy("_slice").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect()}
+    rows, p, n = [], 0, 0
+    for k in sorted(sums):
+        rows += [F.lit(k), F.struct(F.lit(p).cast("long").alias("p"), F.lit(n).cast("long").alias("n"))]
+        p, n = p + sums[k][0], n + sums[k][1]
+    if not p:
+        return by.agg(F.lit(None).cast("double").alias("auprc"))
+    w = Window.partitionBy("_slice").orderBy("_lead")
+    start = F.element_at(F.create_map(*rows), F.col("_slice"))
+    hit, seen = start["p"] + F.sum("p").over(w), start["n"] + F.sum("n").over(w)
+    return out.select((F.col("p") * hit / seen).alias("x")).agg((F.sum("x") / F.lit(p)).alias("auprc"))
+
+
+TUNE = {"binary": ("roc_auc", True), "regression": ("mae", False), "multiclass": ("micro_f1", True)}  # metric, and whether more is better
+
+
+def tune_metric(kind: str) -> tuple[str, bool]:
+    """The metric that a task of this kind is tuned by, and whether more of it is better."""
+    if kind not in TUNE:
+        raise ValueError(f"no metric for tasks of kind {kind}")
+    return TUNE[kind]
+
+
+def best_epoch(history: list[float], higher: bool, patience: int) -> tuple[int, int]:
+    """(best, last): the best epoch, and the one after which training stops: `patience` epochs without a better one.
+
+    Values that are no number never count as better; the first of equals is the best. Epochs count from 0.
+    """
+    best, at = None, 0
+    for k, v in enumerate(history):
+        if v == v and abs(v) != float("inf") and (best is None or (v > best if higher else v < best)):
+            best, at = v, k
+        elif k - at >= patience:
+            return at, k
+    return at, len(history) - 1
+
+
 def mae(df: DataFrame) -> DataFrame:
     return df.agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae"))
 
@@ -44,8 +91,10 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def clamp(df: DataFrame, column: str, reference: DataFrame, label: str = "label", low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """df with the column held between the reference labels' exact percentiles."""
-    q = reference.agg(F.percentile(label, [low, high]).alias("q")).first()["q"]
+    """df with the column held between the reference labels' exact percentiles; as it is where there are none."""
+    q = quantiles(cut(reference.select(label)), label, [low, high])
+    if q is None:
+        return df
     return df.withColumn(column, F.least(F.greatest(F.col(column), F.lit(q[0])), F.lit(q[1])))
 
 
@@ -79,6 +128,19 @@ def vq_update(assigned: DataFrame, sizes: list[float], decay: float = 0.99, eps:
     return moved.select("code", ((F.col("ema") + eps) / (total + k * eps) * total).alias("size"))
 
 
+def vq_embed_update(assigned: DataFrame, codebook: list[list[float]], sizes: list[float], sums: list[list[float]], decay: float = 0.99, eps: float = 1e-5, column: str = "x") -> DataFrame:
+    """(code, k, v): the moved centroids: moving averages of each code's vector sums over its smoothed size.
+
+    A codebook is a model parameter; the vectors are summed by code and dimension, partial on the map side.
+    """
+    spark = assigned.sparkSession
+    moved = vq_update(assigned, sizes, decay, eps)
+    new = assigned.select("code", F.posexplode(column).alias("k", "x")).groupBy("code", "k").agg(F.sum("x").alias("x"))
+    old = spark.createDataFrame([(j, k, float(v)) for j, row in enumerate(sums) for k, v in enumerate(row)], "code int, k int, old double")
+    both = old.join(new, ["code", "k"], "left").join(moved, "code")
+    return both.select("code", "k", ((F.col("old") * decay + F.coalesce("x", F.lit(0.0)) * (1 - decay)) / F.col("size")).alias("v"))
+
+
 def text_average(docs: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, k, v): mean of word vectors (word, x) over a text's words that have one, by dimension."""
     tokens = docs.select("doc_id", F.explode(F.split(F.lower(text), r"\W+")).alias("word")).where("word <> ''")

@@ -23,7 +23,7 @@ def meta_path(feature: Column) -> Column:
 def edge_of(prefix: Column, path: Column) -> Column:
     """What the path adds to the prefix; null if it does not start with it."""
     head = F.concat(prefix, F.lit("__"))
-    return F.when(F.startswith(path, head), F.expr("substring(path, length(prefix) + 3)"))
+    return F.when(F.startswith(path, head), F.substr(path, F.length(prefix) + 3))
 
 
 def _good(df: DataFrame, threshold: int) -> DataFrame:
@@ -51,15 +51,16 @@ def prune_rules(df: DataFrame, threshold: int = 1) -> DataFrame:
     return decisions(df, threshold).where("not expand and edge is not null")
 
 
+def other_way(rel: Column) -> Column:
+    """The relation read from its other end: the mark of reverse relations put on, or taken off where it is."""
+    bare = F.regexp_replace(rel, "^rev_", "")
+    return F.concat(F.when(rel == bare, F.lit("rev_")).otherwise(F.lit("")), bare)
+
+
 def sampler_edge(prefix: Column, edge: Column) -> list[Column]:
     """(src, rel, dst) in the sampler's direction: from the table reached back to the prefix's last."""
     rel, dst = F.split(edge, "__")[0], F.split(edge, "__")[1]
-    back = F.when(F.startswith(rel, F.lit("rev_")), F.regexp_replace(rel, "^rev_", "")).otherwise(F.concat(F.lit("rev_"), rel))
-    return [dst.alias("src"), back.alias("rel"), F.element_at(F.split(prefix, "__"), -1).alias("dst")]
-
-
-def reverse_rel(rel: str) -> str:
-    return rel[4:] if rel.startswith("rev_") else f"rev_{rel}"
+    return [dst.alias("src"), other_way(rel).alias("rel"), F.element_at(F.split(prefix, "__"), -1).alias("dst")]
 
 
 def pruned_config(rules: DataFrame, layers: int, fanout: int) -> DataFrame:
@@ -84,9 +85,12 @@ def read_config(text: str) -> tuple[dict[tuple[str, str, str], list[int]], list[
     """Edge types' fan-outs, and the default, from any of the forms in use; nothing is executed.
 
     JSON with tuple keys under neighbors, JSON with "src|rel|dst" keys under values, Python text as
-    config_text() writes it, or a comma list of numbers, which is a default for all edge types.
+    config_text() writes it, or a comma list of numbers, which is a default for all edge types; @path names a file that holds one.
     """
     text = text.strip()
+    if text.startswith("@"):  # a path to a file that holds one of the forms
+        with open(text[1:], encoding="utf-8") as f:
+            return read_config(f.read())
     if re.fullmatch(r"-?\d+(\s*,\s*-?\d+)*", text):
         return {}, [int(x) for x in text.split(",")]
     if text.startswith("{"):
@@ -133,8 +137,7 @@ def merge_top(ranked: DataFrame, relations: DataFrame, layers: int, k: int, fano
     """(src, rel, dst, fanout): the first k paths of at most `layers` hops; an edge gets the fan-out at each hop where one has it."""
     kept = ranked.where(F.col("hop") <= layers).orderBy("rank").limit(k)
     edges = forward_paths(kept, relations)
-    back = F.when(F.startswith("rel", F.lit("rev_")), F.regexp_replace("rel", "^rev_", "")).otherwise(F.concat(F.lit("rev_"), F.col("rel")))
-    by = edges.select(F.col("dst").alias("src"), back.alias("rel"), F.col("src").alias("dst"), "position").groupBy("src", "rel", "dst").agg(F.collect_set("position").alias("at"))
+    by = edges.select(F.col("dst").alias("src"), other_way(F.col("rel")).alias("rel"), F.col("src").alias("dst"), "position").groupBy("src", "rel", "dst").agg(F.collect_set("position").alias("at"))
     return by.select("src", "rel", "dst", F.transform(F.sequence(F.lit(0), F.lit(layers - 1)), lambda h: F.when(F.array_contains("at", h), fanout).otherwise(0)).alias("fanout"))
 
 

@@ -13,12 +13,12 @@ NODE = ["type", "id"]
 
 
 def nodes(db: Database, tables: list[str]) -> DataFrame:
-    """(type, id, time) of tables with a primary key."""
+    """(type, id, time); rows of a table without a primary key are nodes by their place."""
     out = []
     for name in tables:
         meta = db.meta(name)
         time = F.col(meta.time) if meta.time else F.lit(None).cast("timestamp_ntz")
-        out.append(db.read(name).select(F.lit(name).alias("type"), F.col(meta.pk).cast("long").alias("id"), time.alias("time")))
+        out.append(db.keyed(name).select(F.lit(name).alias("type"), F.col("_rowid").alias("id"), time.alias("time")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -28,8 +28,8 @@ def edges(db: Database, tables: list[str], undirected: bool = True) -> DataFrame
     for name in tables:
         meta = db.meta(name)
         for column, parent in meta.fks.items():
-            if parent in tables and meta.pk:
-                rows = db.read(name).where(F.col(column).isNotNull()).select(F.col(meta.pk).cast("long").alias("c"), F.col(column).cast("long").alias("p"))
+            if parent in tables:
+                rows = db.keyed(name).where(F.col(column).isNotNull()).select(F.col("_rowid").alias("c"), F.col(column).cast("long").alias("p"))
                 out.append(rows.select(F.lit(name).alias("src_type"), F.col("c").alias("src"), F.lit(f"f2p_{column}").alias("rel"), F.lit(parent).alias("dst_type"), F.col("p").alias("dst")))
                 if undirected:
                     out.append(rows.select(F.lit(parent).alias("src_type"), F.col("p").alias("src"), F.lit(f"rev_f2p_{column}").alias("rel"), F.lit(name).alias("dst_type"), F.col("c").alias("dst")))

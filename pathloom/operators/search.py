@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cut import cut
+from .metrics import roc_auc
+from .seeds import number
+
 
 def relation_candidates(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(rel): relations of edges that leave a target node (column id)."""
@@ -40,12 +45,14 @@ def bag_scores(bags: DataFrame, edges: DataFrame, features: DataFrame, weights:
     return rows.groupBy("bag_id", "y").agg(value.alias("score"))
 
 
-def pairwise_loss(scores: DataFrame, slices: int = 16) -> DataFrame:
+def pairwise_loss(scores: DataFrame, most: int = 4096) -> DataFrame:
     """(loss, n_pairs): the sum over positive and negative bags of sigmoid(negative - positive).
 
     The pairs are what is asked for. Each negative meets the positives as one array for each slice of these,
-    so a row is made for each negative and slice, not for each pair.
+    of about `most` each by their count, so a row is made for each negative and slice, not for each pair.
     """
+    scores = cut(scores)
+    slices = max(1, -(-scores.where("y = 1").count() // most))
     positive = scores.where("y = 1").groupBy(F.pmod(F.xxhash64("bag_id"), F.lit(slices)).alias("slice")).agg(F.collect_list("score").alias("pos"))
     negative = scores.where("y = 0").select(F.col("score").alias("neg"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"))
     each = negative.join(positive, "slice").select(F.aggregate("pos", F.lit(0.0), lambda t, p: t + 1 / (1 + F.exp(-(F.col("neg") - p)))).alias("l"), F.size("pos").alias("k"))
@@ -56,6 +63,10 @@ def best_relations(losses: DataFrame, k: int) -> DataFrame:
     return losses.orderBy("loss", "rel").limit(k)
 
 
+def worst_relations(losses: DataFrame, k: int) -> DataFrame:
+    return losses.orderBy(F.col("loss").desc(), "rel").limit(k)
+
+
 def safe(metric: Column) -> Column:
     """Metrics that are no number rank last."""
     bad = metric.isNull() | F.isnan(metric) | (F.abs(metric) == float("inf"))
@@ -105,6 +116,53 @@ def beam_search(first: list[int], grow: Callable[[tuple[int, ...]], list[int]],
     return sorted(scored.items(), key=lambda kv: -kv[1])
 
 
+def beam_over_tables(bags: DataFrame, edges: DataFrame, features: DataFrame, weights: DataFrame, theta: list[float], rounds: int, top: int, width: int) -> DataFrame:
+    """(path, hop, auc): paths of relations found by a beam over the tables, the first relation first in each.
+
+    From each path on the beam the relations that leave its bags' members are judged by the pairwise loss of
+    bag_scores(); the `top` best extend it, and the beam keeps `width` by the AUC of the bags' weights. The
+    loop is over relations, as few as the schema's; all data stays in frames, cut at each step.
+    """
+    beam: list[tuple[tuple[str, ...], DataFrame]] = [((), bags)]
+    found: list[tuple[str, int, float]] = []
+    for _ in range(rounds):
+        grown = []
+        for path, at in beam:
+            candidates = sorted(r["rel"] for r in relation_candidates(edges, at).collect())
+            losses = [(pairwise_loss(bag_scores(at, edges, features, weights, rel, theta)).first()["loss"], rel) for rel in candidates]
+            for _, rel in sorted(losses)[:top]:
+                bigger = cut(expand_bags(at, edges, features, rel, theta))
+                auc = roc_auc(bigger.groupBy("bag_id", "y").agg(F.round(F.sum("alpha"), 9).alias("score"))).first()["auc"]
+                grown.append(((*path, rel), bigger, auc if auc is not None and math.isfinite(auc) else -math.inf))
+        found += [("__".join(p), len(p), auc) for p, _, auc in grown]
+        beam = [(p, df) for p, df, _ in sorted(grown, key=lambda g: (-g[2], g[0]))[:width]]
+        if not beam:
+            break
+    return bags.sparkSession.createDataFrame(found, "path string, hop int, auc double")
+
+
+def split_bags(bags: DataFrame, share: float, salt: str = "s") -> tuple[DataFrame, DataFrame]:
+    """Two parts of the bags, the first with `share` of each label's, in a repeatable random order.
+
+    Counts by label are exact; the order is sliced, so no task sees all bags.
+    """
+    own = cut(bags.select("bag_id", "y").distinct().withColumn("_d", F.xxhash64("bag_id", F.lit(salt))))
+    parts = []
+    for r in own.groupBy("y").agg(F.count("*").alias("n")).collect():
+        label = own.where(F.col("y") == r["y"])
+        parts.append(number(label, "_d", ["_d", "bag_id"]).where(F.col("rn") <= round(share * r["n"])).select("bag_id"))
+    first = reduce(DataFrame.unionByName, parts) if parts else own.select("bag_id").limit(0)
+    first = cut(first)
+    return bags.join(first, "bag_id", "left_semi"), bags.join(first, "bag_id", "left_anti")
+
+
+def replay(bags: DataFrame, edges: DataFrame, features: DataFrame, path: list[str], theta: list[float]) -> DataFrame:
+    """The bags at the end of a path of relations, the first first: the state that a search had there."""
+    for rel in path:
+        bags = expand_bags(bags, edges, features, rel, theta)
+    return bags
+
+
 def beam_prune(paths: DataFrame, metric: str, width: int) -> DataFrame:
     return paths.orderBy(safe(F.col(metric)).desc(), "path").limit(width)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Database
+from .cut import cut
 
 
 def cutoffs(df: DataFrame, times: list[str]) -> DataFrame:
@@ -58,6 +61,7 @@ def take(df: DataFrame, n: int, salt: str = "s", keys: tuple[str, ...] = ("SeedI
 
 def balanced(df: DataFrame, all_of: float, other: float, n: int, strict: bool = False, salt: str = "s") -> DataFrame:
     """All rows of one label and n of the other; strict raises where there are fewer."""
+    df = cut(df) if strict else df
     rest = df.where(F.col("label") == other)
     if strict and rest.count() < n:
         raise ValueError(f"fewer than {n} rows of label {other}")
@@ -78,6 +82,7 @@ def quotas(total: int, a: int, b: int, strict: bool = False) -> tuple[int, int]:
 
 
 def proportional(df: DataFrame, a: float, b: float, total: int, strict: bool = False, salt: str = "s") -> DataFrame:
+    df = cut(df)
     n = {r["label"]: r["n"] for r in df.where(F.col("label").isin(a, b)).groupBy("label").agg(F.count("*").alias("n")).collect()}
     na, nb = quotas(total, n.get(a, 0), n.get(b, 0), strict)
     return take(df.where(F.col("label") == a), na, salt).unionByName(take(df.where(F.col("label") == b), nb, salt))
@@ -99,6 +104,7 @@ def zero_nonzero(df: DataFrame, zeros: int, nonzeros: int, salt: str = "s") -> D
 def sample_n(df: DataFrame, positive: int, negative: int, strict: bool = True, replacement: bool = False, salt: str = "s") -> DataFrame:
     """So many rows with label 1 and 0; with replacement, draw k is the row at hash(k) modulo the class size."""
     out = []
+    df = cut(df)
     for label, n in ((1.0, positive), (0.0, negative)):
         rows = df.where(F.col("label") == label)
         have = rows.count() if strict or replacement else None
@@ -113,34 +119,94 @@ def sample_n(df: DataFrame, positive: int, negative: int, strict: bool = True, r
     return out[0].unionByName(out[1])
 
 
-def number(df: DataFrame, lead: str, order: list[str], slices: int = 64) -> DataFrame:
-    """df with rn, its place in the order. `lead` is the numeric first column of the order.
-
-    Rows are sliced at approximate quantiles of the lead column; each slice is numbered on its own and starts
-    after the rows of the slices below, so that no task sees all rows.
-    """
-    cuts = df.agg(F.percentile_approx(lead, [k / slices for k in range(1, slices)], 1000).alias("q")).first()["q"]
-    cuts = sorted(set(cuts or []))
+def sliced(df: DataFrame, lead: str, slices: int = 64) -> tuple[DataFrame, list[int], int]:
+    """df with _slice, by approximate quantiles of the numeric column lead; rows before each slice; all rows."""
+    found = df.agg(F.percentile_approx(lead, [k / slices for k in range(1, slices)], 1000).alias("q")).first()["q"]
+    cuts = sorted(set(found or []))
     part = sum((F.when(F.col(lead) > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    sliced = df.withColumn("_slice", part)
-    sizes = {r["_slice"]: r["n"] for r in sliced.groupBy("_slice").agg(F.count("*").alias("n")).collect()}
+    out = df.withColumn("_slice", part)
+    sizes = {r["_slice"]: r["n"] for r in out.groupBy("_slice").agg(F.count("*").alias("n")).collect()}
     before, total = [], 0
     for k in range(len(cuts) + 1):
         before.append(total)
         total += sizes.get(k, 0)
+    return out, before, total
+
+
+def number(df: DataFrame, lead: str, order: list[str], slices: int = 64) -> DataFrame:
+    """df with rn, its place in the order. `lead` is the numeric first column of the order.
+
+    Rows are sliced at approximate quantiles of the lead column; each slice is numbered on its own and starts
+    after the rows of the slices below, so that no task sees all rows. df is read three times: cut() it first
+    if it is dear.
+    """
+    return _numbered(*sliced(df, lead, slices)[:2], order)
+
+
+def _numbered(out: DataFrame, before: list[int], order: list[str]) -> DataFrame:
     start = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_slice") + 1)
     rn = F.row_number().over(Window.partitionBy("_slice").orderBy(*order)).cast("long")
-    return sliced.withColumn("rn", start + rn).drop("_slice")
+    return out.withColumn("rn", start + rn).drop("_slice")
+
+
+def at_ranks(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
+    """Values of a numeric column at these places (from 0) of its order, found slice by slice; nulls do not count."""
+    own = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    own = cut(own)
+    out, _, _ = sliced(own, "v")
+    sizes = {r["_slice"]: r["n"] for r in out.groupBy("_slice").agg(F.sum("n").alias("n")).collect()}
+    begin, total = {}, 0
+    for k in sorted(sizes):
+        begin[k] = total
+        total += sizes[k]
+    if not total:
+        return {}
+    first = F.element_at(F.create_map(*[F.lit(x) for k, v in begin.items() for x in (k, v)]), F.col("_slice"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("_slice").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = out.withColumn("_from", first + below)
+    wanted = sorted({min(max(r, 0), total - 1) for r in ranks})
+    hit = [F.max(F.when((F.col("_from") <= r) & (F.col("_from") + F.col("n") > r), F.col("v"))).alias(f"r{k}") for k, r in enumerate(wanted)]
+    row = placed.agg(*hit).first()
+    return {r: row[f"r{k}"] for k, r in enumerate(wanted)}
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float] | None:
+    """Exact quantiles with linear interpolation, without one task that sees all values; None without a value."""
+    n = df.where(F.col(column).isNotNull()).count()
+    if not n:
+        return None
+    places = [q * (n - 1) for q in shares]
+    value = at_ranks(df, column, [x for p in places for x in (math.floor(p), math.ceil(p))])
+    return [value[math.floor(p)] + (value[math.ceil(p)] - value[math.floor(p)]) * (p - math.floor(p)) for p in places]
 
 
 def batches(df: DataFrame, n: int, lead: str = "SeedId", order: tuple[str, ...] = ("SeedId", "ts")) -> DataFrame:
-    """df with batch_id as NTILE(n) over the order gives it, without a window over all rows."""
-    total = df.count()
+    """df with batch_id as NTILE(n) over the order gives it, without a window over all rows; df is computed once."""
+    out, before, total = sliced(cut(df), lead)
     size, more = divmod(total, n)
     rn = F.col("rn")
     big = F.ceil(rn / (size + 1))
     small = F.lit(more) + F.ceil((rn - more * (size + 1)) / F.lit(max(size, 1)))
-    return number(df, lead, list(order)).withColumn("batch_id", F.when(rn <= more * (size + 1), big).otherwise(small).cast("int")).drop("rn")
+    return _numbered(out, before, list(order)).withColumn("batch_id", F.when(rn <= more * (size + 1), big).otherwise(small).cast("int")).drop("rn")
+
+
+def sample_for(df: DataFrame, kind: str, n: int, salt: str = "s") -> DataFrame:
+    """A sample of about n rows by a task's kind: `binary` (all of the rarer label and n of the other), `share`
+    (both in proportion), `amount` (all other than zero and n zeros), `capped` (n of each), or `all`."""
+    if kind == "all":
+        return df
+    if kind == "amount":
+        return nonzero_plus_zero(df, n, salt)
+    if kind == "capped":
+        return zero_nonzero(df, n, n, salt)
+    if kind == "share":
+        return proportional(df, 1.0, 0.0, n, salt=salt)
+    if kind != "binary":
+        raise ValueError(f"no sampler for tasks of kind {kind}")
+    df = cut(df)
+    sizes = {r["label"]: r["n"] for r in df.where(F.col("label").isin(0.0, 1.0)).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rare, other = (1.0, 0.0) if sizes.get(1.0, 0) <= sizes.get(0.0, 0) else (0.0, 1.0)
+    return balanced(df, rare, other, n, salt=salt)
 
 
 def batch_summary(df: DataFrame) -> DataFrame:
@@ -158,7 +224,7 @@ def bool_labels(column: str) -> Column:
 
 def ranks(df: DataFrame, world: int, salt: str = "s") -> DataFrame:
     """(…, rank): a shuffled order dealt to ranks in strides, padded with its head to equal sizes."""
-    rows = number(df.withColumn("_key", F.conv(F.substring(draw_key(salt, "SeedId", "ts"), 1, 12), 16, 10).cast("long")), "_key", ["_key", "SeedId", "ts"]).drop("_key")
+    rows = number(cut(df).withColumn("_key", F.conv(F.substring(draw_key(salt, "SeedId", "ts"), 1, 12), 16, 10).cast("long")), "_key", ["_key", "SeedId", "ts"]).drop("_key")
     n = rows.count()
     pad = (-n) % world
     padded = rows.unionByName(rows.where(F.col("rn") <= pad).withColumn("rn", F.col("rn") + n)) if pad else rows

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Database
-from .frontier import SEED, along, extend, to_one
+from .cut import cut
+from .frontier import SEED, along, extend, start, to_one, unique_step
 from .graph import Path, feature_name, is_reverse, path_name
 
 
@@ -45,22 +48,56 @@ def strategies(child: Column, parent: Column | None) -> list[Column]:
     return [child.alias("cnt"), log_count(child).alias("log_count"), r.alias("rate"), F.log1p(r).alias("log_rate")]
 
 
+def shared(path: Path) -> bool:
+    """Whether counts() counts the last step once for each row and time, not for each seed."""
+    return len(path) > 1 and to_one(path[:-1]) and is_reverse(path[-1][1])
+
+
+def all_counts(db: Database, seeds: DataFrame, paths: list[Path]) -> DataFrame:
+    """(SeedId, ts, c0, c1, …): the counts() of each path, 0 where one reaches nothing; seeds that reach something.
+
+    The paths' trie is walked once: a frontier that several paths go on from is written out and read by all
+    of them. All counts come from one aggregation over the frontiers together.
+    """
+    walked = {p for p in paths if not shared(p)}
+    needed = {p[:k] for p in walked for k in range(1, len(p) + 1)}
+    uses = {p: (p in walked) + sum(1 for q in needed if q[:-1] == p) for p in needed}
+    at: dict[Path, DataFrame] = {(): start(db, seeds, paths[0][0][0], timed=False)}
+    for p in sorted(needed, key=len):
+        reached = extend(db, at[p[:-1]], p[-1], distinct=not unique_step(p[-1], p[:-1]))
+        at[p] = cut(reached) if uses[p] > 1 else reached
+    parts = []
+    for k, p in enumerate(paths):
+        own = counts(db, seeds, p) if shared(p) else at[p].select(*SEED, F.lit(1).cast("long").alias("cnt"))
+        parts.append(own.select(*SEED, F.lit(k).alias("_k"), "cnt"))
+    together = reduce(DataFrame.unionByName, parts)
+    return together.groupBy(*SEED).agg(*[F.coalesce(F.sum(F.when(F.col("_k") == k, F.col("cnt"))), F.lit(0)).alias(f"c{k}") for k in range(len(paths))])
+
+
 def long(db: Database, seeds: DataFrame, paths: list[Path]) -> DataFrame:
     """(SeedId, ts, label, hop, prefix, feature, cnt, parent): every seed and feature, zero where nothing is reached.
 
-    hop and prefix are those of the path without its last step, which is the extension that is judged.
+    hop and prefix are those of the path without its last step, which is the extension that is judged. Columns
+    of seeds beyond these (a batch) stay. One join brings all counts to the seeds.
     """
-    out = None
-    parents: dict[Path, DataFrame] = {}
-    for path in paths:
-        up = path[:-1]
-        if up and up not in parents:
-            parents[up] = counts(db, seeds, up)
-        df = seeds.join(counts(db, seeds, path), SEED, "left")
-        df = df.join(parents[up].withColumnRenamed("cnt", "parent"), SEED, "left") if up else df.withColumn("parent", F.lit(None).cast("long"))
-        df = df.select(*SEED, "label", F.lit(len(up)).alias("hop"), F.lit(path_name(up) if up else path[0][0]).alias("prefix"), F.lit(feature_name(path)).alias("feature"), F.coalesce("cnt", F.lit(0)).alias("cnt"), F.coalesce("parent", F.lit(0)).alias("parent"))
-        out = df if out is None else out.unionByName(df)
-    return out
+    every = list(dict.fromkeys([*paths, *(p[:-1] for p in paths if len(p) > 1)]))
+    place = {p: k for k, p in enumerate(every)}
+    zero = F.lit(0).cast("long")
+    rows = [
+        F.struct(
+            F.lit(len(p) - 1).alias("hop"), F.lit(path_name(p[:-1]) if len(p) > 1 else p[0][0]).alias("prefix"), F.lit(feature_name(p)).alias("feature"),
+            F.coalesce(F.col(f"c{place[p]}"), zero).alias("cnt"), (F.coalesce(F.col(f"c{place[p[:-1]]}"), zero) if len(p) > 1 else zero).alias("parent"),
+        )
+        for p in paths
+    ]
+    joined = seeds.join(all_counts(db, seeds, every), SEED, "left")
+    return joined.select(*seeds.columns, F.inline(F.array(*rows)))
+
+
+def hop_sizes(long: DataFrame) -> DataFrame:
+    """(hop, batch_id, n_seeds, mean_rows, most_rows): rows that a batch's seeds reach at each hop, over all its paths."""
+    by = long.groupBy("hop", "batch_id", *SEED).agg(F.sum("cnt").alias("n"))
+    return by.groupBy("hop", "batch_id").agg(F.count("*").alias("n_seeds"), F.avg("n").alias("mean_rows"), F.max("n").alias("most_rows"))
 
 
 def wide(db: Database, seeds: DataFrame, paths: list[Path], strategy: str = "log_count") -> DataFrame:

@@ -10,14 +10,24 @@ from ..sources.catalog import SHOP, Database
 from .registry import query
 from .seed_queries import shown
 
-ALL = ["customer", "events", "nation", "orders", "part", "region", "supplier"]
+ALL = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
+SALES = ["lineitem", "supplier"]
 PLACES = ["customer", "nation", "region", "supplier"]
 BUYS = ["customer", "orders", "events"]
 AT = "2000-01-01"
 
 
+def _id_sql(table: str) -> str:
+    """A row's id; a table without a primary key counts its rows."""
+    return f"CAST({SHOP[table].pk or 'rid'} AS BIGINT)"
+
+
+def _from_sql(table: str) -> str:
+    return table if SHOP[table].pk else f"(SELECT row_number() OVER () - 1 AS rid, * FROM {table}) {table}"
+
+
 def _nodes_sql(tables: list[str]) -> str:
-    return "nodes AS (" + " UNION ALL ".join(f"SELECT '{t}' AS type, CAST({SHOP[t].pk} AS BIGINT) AS id, {SHOP[t].time or 'NULL::TIMESTAMP'} AS time FROM {t}" for t in tables) + ")"
+    return "nodes AS (" + " UNION ALL ".join(f"SELECT '{t}' AS type, {_id_sql(t)} AS id, {SHOP[t].time or 'NULL::TIMESTAMP'} AS time FROM {_from_sql(t)}" for t in tables) + ")"
 
 
 def _edges_sql(tables: list[str]) -> str:
@@ -25,8 +35,8 @@ def _edges_sql(tables: list[str]) -> str:
     for t in tables:
         for c, p in SHOP[t].fks.items():
             if p in tables:
-                rows += [f"SELECT '{t}' AS src_type, CAST({SHOP[t].pk} AS BIGINT) AS src, 'f2p_{c}' AS rel, '{p}' AS dst_type, CAST({c} AS BIGINT) AS dst FROM {t} WHERE {c} IS NOT NULL",
-                         f"SELECT '{p}', CAST({c} AS BIGINT), 'rev_f2p_{c}', '{t}', CAST({SHOP[t].pk} AS BIGINT) FROM {t} WHERE {c} IS NOT NULL"]
+                rows += [f"SELECT '{t}' AS src_type, {_id_sql(t)} AS src, 'f2p_{c}' AS rel, '{p}' AS dst_type, CAST({c} AS BIGINT) AS dst FROM {_from_sql(t)} WHERE {c} IS NOT NULL",
+                         f"SELECT '{p}', CAST({c} AS BIGINT), 'rev_f2p_{c}', '{t}', {_id_sql(t)} FROM {_from_sql(t)} WHERE {c} IS NOT NULL"]
     return "edges AS (" + " UNION ALL ".join(rows) + ")"
 
 
@@ -96,6 +106,14 @@ def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(_reached(spark, sf_dir))
 
 
+@query(f"""WITH {_edges_sql(SALES)}, {_seeds_sql('supplier')}, one AS (SELECT s.SeedId, s.ts, e.dst_type AS type, count(*) AS n FROM seeds s JOIN edges e ON e.src_type = s.type AND e.src = s.SeedId GROUP BY ALL)
+ SELECT SeedId, CAST(ts AS VARCHAR) AS ts, type, CAST(1 AS INT) AS hop, n FROM one UNION ALL SELECT SeedId, CAST(ts AS VARCHAR), type, 0, 1 FROM seeds""")
+def bfs_rows_without_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = Database(spark, sf_dir)
+    reached = sampling.bfs(_seeds(db, "supplier"), sampling.edges(db, SALES), 2)
+    return shown(reached.groupBy("SeedId", "ts", "type", "hop").agg(F.count("*").alias("n")))
+
+
 @query(f"{_BFS} SELECT SeedId, CAST(ts AS VARCHAR) AS ts, CAST(hop AS INT) AS hop, count(*) AS n FROM reached WHERE hop > 0 GROUP BY ALL")
 def hop_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(sampling.buckets(_reached(spark, sf_dir)))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import t_critical
 from ..operators import bounds, rules, scoring, seeds, stats
+from ..operators.cut import cut
 from ..sources.catalog import Database
-from .cut import cut
 from .registry import query
 from .seed_queries import N_BATCHES, SPEND
 from .stat_queries import BASE, EXTENSIONS, LONG, PATHS
@@ -55,22 +55,23 @@ def _round_sql(columns: str, source: str, doubles: str) -> str:
 
 
 def long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every seed and extension with the seed's batch; the seeds are computed once."""
     db = Database(spark, sf_dir)
-    own = seeds.churn(db).persist()
-    out = stats.long(db, own, [PATHS[k] for k in EXTENSIONS]).join(seeds.batches(own, N_BATCHES).drop("label"), ["SeedId", "ts"])
-    r = stats.rate(F.col("cnt"), F.col("parent"))
-    return out.withColumn("log_rate", F.round(F.log1p(r), 9)).withColumn("log_count", F.round(stats.log_count(F.col("cnt")), 9))
+    return stats.long(db, cut(seeds.batches(seeds.churn(db), N_BATCHES)), [PATHS[k] for k in EXTENSIONS])
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each batch, extension and strategy: few. Several steps read both levels: the long table is kept, the scores' lineage is cut."""
-    rows = long(spark, sf_dir).persist()
-    out = scoring.summary(rows, "log_rate").withColumn("aggregate_type", F.lit("log_rate")).unionByName(scoring.summary(rows, "log_count").withColumn("aggregate_type", F.lit("log_count")))
-    return cut(out)
+def value(kind: str) -> Column:
+    """A strategy's value from cnt and parent, rounded as its SQL is."""
+    return F.round(F.log1p(stats.rate(F.col("cnt"), F.col("parent"))) if kind == "log_rate" else stats.log_count(F.col("cnt")), 9)
+
+
+def scores(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("log_rate", "log_count")) -> DataFrame:
+    """A row for each strategy, batch and extension: few, from joint counts that are few as well."""
+    return scoring.summary(scoring.joint(long(spark, sf_dir)), {k: value(k) for k in kinds})
 
 
 def lcb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bounds.lcb_summary(scores(spark, sf_dir), N_BATCHES, DELTA)
+    return bounds.lcb_summary(cut(scores(spark, sf_dir)), N_BATCHES, DELTA)
 
 
 def q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +98,28 @@ def quantile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT CAST(len(list_filter(edges[2:len(edges) - 1], lambda c: label > c)) AS INT) AS bin, count(*) AS n FROM spend, e GROUP BY ALL""")
 def bin_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = seeds.spend(Database(spark, sf_dir))
-    return df.crossJoin(F.broadcast(scoring.quantile_edges(df, "label", 8))).groupBy(scoring.bin_of(F.col("label"), F.col("edges")).alias("bin")).agg(F.count("*").alias("n"))
+    edges = F.array(*map(F.lit, scoring.quantile_edges(df, "label", 8).first()["edges"]))
+    return df.groupBy(scoring.bin_of(F.col("label"), edges).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {SPEND}, a AS (SELECT label FROM spend UNION ALL SELECT label * 2 FROM spend)
+ SELECT unnest([round(x, 6) FOR x IN list_sort(list_distinct(quantile_cont(label, [0, 0.25, 0.5, 0.75, 1])))]) AS edge FROM a""")
+def global_regression_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = seeds.spend(Database(spark, sf_dir))
+    found = scoring.global_edges([df, df.select((F.col("label") * 2).alias("label"))], bins=4)
+    return spark.createDataFrame([(round(x, 6),) for x in found], "edge double")
+
+
+@query(f"""{LONG_SQL} SELECT hop, batch_id, count(*) AS n_seeds, round(avg(n), 9) AS mean_rows, max(n) AS most_rows FROM
+ (SELECT hop, batch_id, SeedId, ts, CAST(sum(cnt) AS BIGINT) AS n FROM long GROUP BY ALL) GROUP BY hop, batch_id""")
+def size_per_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.hop_sizes(long(spark, sf_dir)))
+
+
+@query(f"""{LONG_SQL}, w AS (SELECT hop, prefix, feature, batch_id, row_number() OVER (PARTITION BY hop ORDER BY score DESC, prefix, feature, batch_id) AS place, score
+  FROM (SELECT * REPLACE (round(score, 9) AS score) FROM ({_summary_sql('log_count')}))) SELECT hop, prefix, feature, batch_id, CAST(place AS INT) AS place, score FROM w""")
+def stable_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.in_order(rounded(scores(spark, sf_dir, ("log_count",))).select("hop", "prefix", "feature", "batch_id", "score"))
 
 
 @query(f"""WITH {SPEND}, s AS (SELECT count(label) AS n, max(label) - min(label) AS w, quantile_cont(label, 0.75) - quantile_cont(label, 0.25) AS iqr FROM spend),
@@ -113,23 +135,23 @@ _IDS = "batch_id, hop, prefix, feature, n_samples, n_nonzero"
 
 @query(f"{LONG_SQL} {_round_sql(_IDS, '(' + _summary_sql('log_rate') + ')', _DOUBLES)}")
 def score_log_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scoring.summary(long(spark, sf_dir), "log_rate"))
+    return rounded(scores(spark, sf_dir, ("log_rate",)).drop("aggregate_type"))
 
 
 @query(f"{LONG_SQL} {_round_sql(_IDS, '(' + _summary_sql('log_count') + ')', _DOUBLES)}")
 def score_log_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scoring.summary(long(spark, sf_dir), "log_count"))
+    return rounded(scores(spark, sf_dir, ("log_count",)).drop("aggregate_type"))
 
 
 @query(f"{LONG_SQL} SELECT hop, prefix, feature, batch_id, rank, round(score, 9) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY hop ORDER BY score DESC, batch_id, prefix, feature) AS INT) AS rank FROM (SELECT * REPLACE (round(score, 12) AS score) FROM ({_summary_sql('log_count')}))) WHERE rank <= 5")
 def topk_per_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scoring.summary(long(spark, sf_dir), "log_count").withColumn("score", F.round("score", 12))
+    s = scores(spark, sf_dir, ("log_count",)).withColumn("score", F.round("score", 12))
     return rounded(scoring.top_per_hop(s).select("hop", "prefix", "feature", "batch_id", "rank", "score"))
 
 
 @query()
 def knn_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.knn_mi_by_group(long(spark, sf_dir), "log_count")
+    return scoring.knn_mi_by_group(long(spark, sf_dir).withColumn("log_count", value("log_count")), "log_count")
 
 
 _LCB = "mu_tr sigma_tr cov_mean cov_std cov_cv lcb_tr cov_lcb_tr"

@@ -69,19 +69,65 @@ def pairwise_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.round("loss", 4).alias("loss"), "n_pairs")
 
 
-LOSSES = [("a", 3.0), ("b", 1.5), ("c", 1.5), ("d", 9.0)]
-_LOSS_SQL = "(VALUES ('a', 3.0::DOUBLE), ('b', 1.5), ('c', 1.5), ('d', 9.0)) v(rel, loss)"
+_LOSS_SQL = "(SELECT event_type AS rel, round(avg(value), 9) AS loss FROM events GROUP BY event_type)"
+
+
+def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Database(spark, sf_dir).read("events").groupBy(F.col("event_type").alias("rel")).agg(F.round(F.avg("value"), 9).alias("loss"))
 
 
 @query(f"SELECT * FROM {_LOSS_SQL} ORDER BY loss, rel LIMIT 3")
 def relation_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.best_relations(spark.createDataFrame(LOSSES, "rel string, loss double"), 3)
+    return search.best_relations(_losses(spark, sf_dir), 3)
+
 
+@query(f"SELECT * FROM {_LOSS_SQL} ORDER BY loss DESC, rel LIMIT 2")
+def relation_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.worst_relations(_losses(spark, sf_dir), 2)
 
-@query("SELECT path, auc FROM (VALUES ('p1', 0.7::DOUBLE), ('p2', 'nan'::DOUBLE), ('p3', 0.9), ('p4', 'inf'::DOUBLE), ('p5', 0.8)) v(path, auc) WHERE NOT isnan(auc) AND NOT isinf(auc) ORDER BY auc DESC, path LIMIT 2")
+
+@query("SELECT c_name AS path, c_acctbal / CASE WHEN c_nationkey = 0 THEN NULL ELSE 1000 END AS auc FROM customer WHERE c_nationkey <> 0 ORDER BY c_acctbal DESC, c_name LIMIT 20")
 def beam_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("p1", 0.7), ("p2", float("nan")), ("p3", 0.9), ("p4", float("inf")), ("p5", 0.8)]
-    return search.beam_prune(spark.createDataFrame(rows, "path string, auc double"), "auc", 2)
+    own = Database(spark, sf_dir).read("customer")
+    auc = F.when(F.col("c_nationkey") == 0, F.when(F.col("c_custkey") % 2 == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col("c_acctbal") / 1000)
+    return search.beam_prune(own.select(F.col("c_name").alias("path"), auc.alias("auc")), "auc", 20)
+
+
+_SUMS = "b1 AS (SELECT bag_id, y, round(sum(alpha), 9) AS s FROM bags2 GROUP BY ALL), b2 AS (SELECT bag_id, y, round(sum(alpha), 9) AS s FROM bags3 GROUP BY ALL)"
+_BAGS3 = f"bags3 AS (SELECT b.bag_id, e.dst AS id, b.y, sum(b.alpha * {_H}) AS alpha FROM bags2 b JOIN feats f USING (id) JOIN (SELECT DISTINCT src, dst FROM edges WHERE rel = 'f2p_o_custkey') e ON e.src = b.id GROUP BY ALL)"
+
+
+def _auc_sql(path: str, hop: int, source: str) -> str:
+    return f"""SELECT '{path}' AS path, CAST({hop} AS INT) AS hop, round((s - p * (p + 1) / 2.0) / (p * n::DOUBLE), 6) AS auc FROM (SELECT CAST(sum(CASE WHEN y = 1 THEN k END) AS DOUBLE) AS s, count(*) FILTER (y = 1) AS p, count(*) FILTER (y <> 1) AS n
+ FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS k FROM {source}))"""
+
+
+@query(f"{SETUP}, {_BAGS2}, {_BAGS3}, {_SUMS} {_auc_sql('rev_f2p_o_custkey', 1, 'b1')} UNION ALL {_auc_sql('rev_f2p_o_custkey__f2p_o_custkey', 2, 'b2')}")
+def beam_search_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bags, feats, edges = _setup(spark, sf_dir)
+    weights = feats.select("id", (F.element_at("x", 1) / 10).alias("w"))
+    return search.beam_over_tables(bags, edges, feats, weights, THETA, rounds=2, top=2, width=2).withColumn("auc", F.round("auc", 6))
+
+
+@query(f"{SETUP}, {_BAGS2}, {_BAGS3} SELECT bag_id, y, round(sum(alpha), 6) AS total, count(*) AS n FROM bags3 GROUP BY ALL")
+def replay_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bags, feats, edges = _setup(spark, sf_dir)
+    end = search.replay(bags, edges, feats, ["rev_f2p_o_custkey", "f2p_o_custkey"], THETA)
+    return end.groupBy("bag_id", "y").agg(F.round(F.sum("alpha"), 6).alias("total"), F.count("*").alias("n"))
+
+
+@query(f"{SETUP}, n AS (SELECT y, count(DISTINCT bag_id) AS n FROM bags GROUP BY y) SELECT y, CAST(round_even(0.25 * n, 0) AS BIGINT) AS first, n - CAST(round_even(0.25 * n, 0) AS BIGINT) AS second FROM n")
+def stratified_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = search.split_bags(_setup(spark, sf_dir)[0], 0.25)
+    both = first.select("y", F.lit(1).alias("a")).unionByName(second.select("y", F.lit(0).alias("a")))
+    return both.groupBy("y").agg(F.sum("a").alias("first"), F.sum(1 - F.col("a")).alias("second"))
+
+
+@query("""WITH s AS (SELECT doc_id, toxic AS y, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 2) AS INT) / 256.0 * 0.5 + toxic * 0.25 AS score FROM labels),
+ g AS (SELECT score, sum(y) AS p, count(*) AS n FROM s GROUP BY score), c AS (SELECT p, sum(p) OVER w AS hit, sum(n) OVER w AS seen FROM g WINDOW w AS (ORDER BY score DESC))
+ SELECT round(CAST(sum(p * hit / seen::DOUBLE) / sum(p) AS DOUBLE), 9) AS auprc FROM c""")
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.average_precision(_predictions(spark, sf_dir)).select(F.round("auprc", 9).alias("auprc"))
 
 
 @query(f"{SETUP} SELECT e.src AS id, round(sum(f.x1), 4) AS x1, round(sum(f.x2), 4) AS x2 FROM edges e JOIN feats f ON f.id = e.dst WHERE e.rel = 'rev_f2p_o_custkey' GROUP BY e.src")
@@ -202,6 +248,13 @@ def vq_ema_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.vq_update(_assigned(spark, sf_dir), [10.0] * 5).withColumn("size", F.round("size", 6))
 
 
+@query(f"{_VQ}, e AS (SELECT CAST(c.code AS INT) AS code, 10.0 * 0.99 + count(a.vec_id) * (1 - 0.99) AS ema FROM codes c LEFT JOIN a ON a.code = c.code GROUP BY c.code), t AS (SELECT sum(ema) AS total FROM e), z AS (SELECT code, (ema + 1e-5) / (total + 5 * 1e-5) * total AS size FROM e, t), d2 AS (SELECT i - 1 AS k, a.code, sum(e.embedding[i]::DOUBLE) AS x FROM a JOIN embeddings e USING (vec_id), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) SELECT z.code, CAST(g.k AS INT) AS k, round((c.c[g.k + 1] * 10.0 * 0.99 + coalesce(d2.x, 0.0) * (1 - 0.99)) / z.size, 6) AS v FROM z JOIN codes c ON c.code = z.code CROSS JOIN (SELECT unnest(range(64)) AS k) g LEFT JOIN d2 ON d2.code = z.code AND d2.k = g.k")
+def vq_ema_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    moved = metrics.vq_embed_update(metrics.vq_assign(own, CODEBOOK), CODEBOOK, [10.0] * 5, [[v * 10.0 for v in c] for c in CODEBOOK])
+    return moved.withColumn("v", F.round("v", 6))
+
+
 WORDS = [("the", [1.0, 0.0]), ("of", [0.0, 1.0]), ("que", [2.0, 1.0]), ("der", [-1.0, 0.5])]
 _WORDS = "words(word, x) AS (VALUES " + ", ".join(f"('{w}', {x}::DOUBLE[])" for w, x in WORDS) + ")"
 

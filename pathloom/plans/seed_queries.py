@@ -98,9 +98,9 @@ def zero_nonzero_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(seeds.zero_nonzero(seeds.spend(Database(spark, sf_dir)), 200, 250)).withColumn("label", F.round("label", 4))
 
 
-@query(f"WITH {CHURN} SELECT {SHOW} FROM ({_taken('churn', 'label = 1', '300')} UNION ALL {_taken('churn', 'label = 0', '200')}) x")
+@query(f"WITH {CHURN} SELECT {SHOW} FROM ({_taken("churn", "label = 1", "150")} UNION ALL {_taken("churn", "label = 0", "100")}) x")
 def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(seeds.sample_n(_churn(spark, sf_dir), 300, 200, strict=False))
+    return shown(seeds.sample_n(_churn(spark, sf_dir), 150, 100))
 
 
 @query()

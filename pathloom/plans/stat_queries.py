@@ -31,11 +31,11 @@ F_SQL = {
     "region": "SELECT DISTINCT f.SeedId, f.ts, CAST(n.n_regionkey AS BIGINT) AS id FROM f_nation f JOIN nation n ON n.n_nationkey = f.id",
     "sibling": "SELECT DISTINCT f.SeedId, f.ts, c.c_custkey AS id FROM f_nation f JOIN customer c ON c.c_nationkey = f.id",
     "supplier": "SELECT DISTINCT f.SeedId, f.ts, s.s_suppkey AS id FROM f_nation f JOIN supplier s ON s.s_nationkey = f.id",
-    "lineitem": "SELECT DISTINCT f.SeedId, f.ts, l AS id FROM f_orders f JOIN lineitem l ON l.l_orderkey = f.id AND l.l_shipdate < f.ts",
-    "part": "SELECT DISTINCT f.SeedId, f.ts, f.id.l_partkey AS id FROM f_lineitem f",
-    "seller": "SELECT DISTINCT f.SeedId, f.ts, f.id.l_suppkey AS id FROM f_lineitem f",
+    "lineitem": "SELECT f.SeedId, f.ts, l.rid AS id FROM f_orders f JOIN line l ON l.l_orderkey = f.id AND l.l_shipdate < f.ts",
+    "part": "SELECT DISTINCT f.SeedId, f.ts, l.l_partkey AS id FROM f_lineitem f JOIN line l ON l.rid = f.id",
+    "seller": "SELECT DISTINCT f.SeedId, f.ts, l.l_suppkey AS id FROM f_lineitem f JOIN line l ON l.rid = f.id",
 }
-FRONTIERS = ", ".join(f"f_{k} AS ({v})" for k, v in F_SQL.items())
+FRONTIERS = "line AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM lineitem), " + ", ".join(f"f_{k} AS ({v})" for k, v in F_SQL.items())
 COUNTS = ", ".join(f"c_{k} AS (SELECT SeedId, ts, count(*) AS cnt FROM f_{k} GROUP BY SeedId, ts)" for k in F_SQL)
 BASE = f"WITH {CHURN}, {FRONTIERS}, {COUNTS}"
 EXTENSIONS = ["region", "sibling", "supplier", "lineitem", "part", "seller"]
@@ -64,10 +64,10 @@ for _k in PATHS:
         query(f"WITH {CHURN}, {FRONTIERS} SELECT {_AT}, id AS last_id FROM f_{_k}", f"frontier_h{len(PATHS[_k])}_{_k}")(_frontier(_k))
 
 
-@query(f"WITH {CHURN}, {FRONTIERS} SELECT {_AT}, id.l_partkey AS l_partkey, id.l_suppkey AS l_suppkey, id.l_linenumber AS l_linenumber FROM f_lineitem")
+@query(f"WITH {CHURN}, {FRONTIERS} SELECT f.SeedId, CAST(f.ts AS VARCHAR) AS ts, l.l_partkey, l.l_suppkey, l.l_linenumber FROM f_lineitem f JOIN line l ON l.rid = f.id")
 def frontier_h2_lineitem_norowpk(spark: SparkSession, sf_dir: str) -> DataFrame:
     db, own = _set(spark, sf_dir)
-    rows = db.read("lineitem").select(db.row_id("lineitem").alias("last_id"), "l_partkey", "l_suppkey", "l_linenumber")
+    rows = db.keyed("lineitem").select(F.col("_rowid").alias("last_id"), "l_partkey", "l_suppkey", "l_linenumber")
     return shown(frontier.along(db, own, PATHS["lineitem"]).join(rows, "last_id").drop("last_id"))
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -40,27 +42,47 @@ SHOP = {
 
 
 class Database:
-    """A folder of Parquet tables with their metadata."""
+    """A folder of Parquet tables with their metadata, and frames registered beside them."""
 
     def __init__(self, spark: SparkSession, path: str, tables: dict[str, TableMeta] | None = None):
-        self.spark, self.path, self.tables = spark, path, tables or SHOP
+        self.spark, self.path, self.tables = spark, path, dict(tables or SHOP)
+        self.frames: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self.frames[name] if name in self.frames else self.spark.read.parquet(f"{self.path}/{name}.parquet")
+
+    def add(self, meta: TableMeta, frame: DataFrame) -> None:
+        """Register a frame as a table of this database, in place of a file of that name."""
+        self.tables[meta.name] = meta
+        self.frames[meta.name] = frame
+        frame.createOrReplaceTempView(meta.name)
 
     def meta(self, name: str) -> TableMeta:
         return self.tables[name]
 
-    def row_id(self, name: str) -> Column:
-        """The primary key; for a table without one, 96 bits of hash over all columns.
+    def keyed(self, name: str) -> DataFrame:
+        """The table with _rowid, a long for each row: its primary key, or else the row's place.
 
-        A sorted row number would need all rows in one task. Rows that agree in every column are one row here.
+        A file's row is told by the file's rank among the table's files and its index in the file, so equal rows
+        stay apart and nothing is shuffled. Rows of a registered frame without a key get a hash of their
+        columns and a number among equal ones.
         """
-        meta = self.tables[name]
+        meta, df = self.tables[name], self.read(name)
         if meta.pk:
-            return F.col(meta.pk).cast("long")
-        columns = self.read(name).columns
-        return F.struct(F.xxhash64(*columns).alias("a"), F.hash(*columns).alias("b"))
+            return df.withColumn("_rowid", F.col(meta.pk).cast("long"))
+        if name in self.frames:
+            same = Window.partitionBy("_hash").orderBy(*[F.col(c) for c in df.columns])
+            return df.withColumn("_hash", F.xxhash64(*df.columns)).withColumn("_rowid", F.xxhash64("_hash", F.row_number().over(same))).drop("_hash")
+        index = F.col("_metadata.row_index")
+        files = sorted(df.inputFiles())
+        if len(files) <= 1:
+            return df.withColumn("_rowid", index)
+        plain = lambda f: re.sub("^([a-z0-9]+):/+", r"\1:/", f)
+        ranks = self.spark.createDataFrame([(plain(f), k) for k, f in enumerate(files)], "_file string, _rank long")
+        placed = df.withColumns({"_index": index, "_file": F.regexp_replace(F.col("_metadata.file_path"), "^([a-z0-9]+):/+", "$1:/")})
+        ranks = F.broadcast(ranks) if len(files) <= 50_000 else ranks
+        rank = F.coalesce("_rank", F.raise_error(F.concat(F.lit("not a file of the table: "), "_file")).cast("long"))
+        return placed.join(ranks, "_file", "left").withColumn("_rowid", F.shiftleft(rank, 40) + F.col("_index")).drop("_file", "_index", "_rank")
 
     def register(self, *names: str) -> None:
         """Temporary views, so that SQL text can name the tables."""
@@ -70,6 +92,14 @@ class Database:
     def exists(self, name: str) -> bool:
         return self.spark.catalog.tableExists(name)
 
+    def columns(self, name: str) -> list[tuple[str, str]]:
+        """Names and types of a table's columns."""
+        return self.read(name).dtypes
+
+    def foreign_keys(self, name: str) -> list[tuple[str, str]]:
+        """Columns of a table that point to another, and that table."""
+        return sorted(self.tables[name].fks.items())
+
 
 def infer_task_schema(columns: list[str], fks: list[str], time: str | None) -> tuple[str, str, str]:
     """(entity, time, label) of a task table: its first foreign key, its time column, and the one column left."""
@@ -122,5 +152,9 @@ def read_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.text(path).where(F.col("value").rlike(pattern))
 
 
+def read_schema_cache(text: str) -> T.StructType:
+    return T.StructType.fromJson(json.loads(text))
+
+
 def schema_cache(df: DataFrame) -> str:
     return json.dumps(json.loads(df.schema.json()), sort_keys=True)

@@ -131,7 +131,8 @@ def test_binning(spark):
 def test_information(spark):
     rows = [(1, 1, "p", "f", float(i % 2), i % 2, i % 2) for i in range(20)] + [(1, 1, "p", "g", float(i % 2), 3, 3) for i in range(20)] + [(1, 1, "p", "h", 1.0, i % 2, i % 2) for i in range(20)]
     df = spark.createDataFrame(rows, "batch_id int, hop int, prefix string, feature string, label double, v int, cnt int")
-    out = {r["feature"]: r for r in scoring.summary(df, "v").collect()}
+    out = {r["feature"]: r for r in scoring.summary(scoring.joint(df.withColumnRenamed("v", "parent")), {"x": F.col("parent")}).collect()}
+    assert {r["feature"]: round(r["mi"], 9) for r in scoring.plugin_mi(df, "v").collect()}["f"] == round(math.log(2), 9)
     assert math.isclose(out["f"]["npmi"], 1) and abs(out["g"]["npmi"]) < 1e-12 and out["h"]["npmi"] == 0
     assert out["f"]["n_nonzero"] == 10 <= out["f"]["n_samples"] and out["f"]["cost"] == 1
     rng = np.random.default_rng(0)
@@ -143,6 +144,92 @@ def test_information(spark):
     assert scoring.knn_mi(np.ones(9), y[:9], True) == 0
 
 
+def test_equal_rows_stay_apart(spark, tmp_path):
+    """Rows of a table without a key are told apart by their place, in files and in frames."""
+    rows = [(1, 7, 5), (1, 7, 5), (1, 8, 5), (2, 7, 5), (2, 7, 5), (2, 7, 5)]
+    line = spark.createDataFrame(rows, "o long, p long, q long").withColumn("at", F.lit("2019-01-01").cast("timestamp_ntz"))
+    parent = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    own = parent.select(F.col("id").alias("SeedId"), F.lit(1.0).alias("label"), F.lit("2020-01-01").cast("timestamp_ntz").alias("ts"))
+    meta = {"a": TableMeta("a", "id"), "c": TableMeta("c", "id"), "l": TableMeta("l", None, "at", {"o": "a", "p": "c"})}
+    for frame, folder in ((parent, "a"), (spark.createDataFrame([(7,), (8,)], "id long"), "c"), (line.repartition(2, "q", "o"), "l")):
+        frame.write.parquet(str(tmp_path / f"{folder}.parquet"))
+    line.coalesce(1).write.mode("append").parquet(str(tmp_path / "l.parquet"))  # so two files or more, and each row twice
+    files = Database(spark, str(tmp_path), meta)
+    frames = Database(spark, str(tmp_path), meta)
+    frames.add(meta["l"], line)
+    path = (("a", "rev_f2p_o", "l"), ("l", "f2p_p", "c"))
+    for db, times in ((files, 2), (frames, 1)):
+        assert db.keyed("l").select("_rowid").distinct().count() == 6 * times
+        assert {r["SeedId"]: (r["cnt"], r["parent"]) for r in stats.long(db, own, [path]).collect()} == {1: (2, 3 * times), 2: (1, 3 * times), 3: (0, 0)}
+        reached = frontier.along(db, own, path[:1])
+        assert reached.count() == reached.distinct().count() == 6 * times
+        assert sampling.nodes(db, ["a", "l"]).groupBy("type").count().collect().__len__() == 2
+        assert sampling.edges(db, ["a", "c", "l"]).count() == 24 * times
+        seeds_ = own.withColumn("type", F.lit("a"))
+        near = sampling.bfs(seeds_, sampling.edges(db, ["a", "c", "l"]), 2).groupBy("SeedId", "hop").count().collect()
+        assert {(r["SeedId"], r["hop"]): r["count"] for r in near} == {(1, 0): 1, (1, 1): 3 * times, (1, 2): 2, (2, 0): 1, (2, 1): 3 * times, (2, 2): 1, (3, 0): 1}
+    assert files.foreign_keys("l") == [("o", "a"), ("p", "c")] and files.columns("a") == [("id", "bigint")]
+    assert catalog.read_schema_cache(catalog.schema_cache(line)) == line.schema
+
+
+def test_quantiles_by_slices(spark):
+    rng = np.random.default_rng(0)
+    x = np.r_[rng.normal(0, 1, 700), np.zeros(300), rng.exponential(50, 200)]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    shares = [0, 0.02, 0.25, 1 / 3, 0.5, 0.9, 0.98, 1]
+    assert np.allclose(seeds.quantiles(df, "x", shares), np.quantile(x, shares))
+    assert seeds.quantiles(df.where("x > 1e9"), "x", shares) is None
+    assert metrics.clamp(df.where("x = 0"), "x", df.where("x > 1e9"), "x").count() == 300
+
+
+def test_samples_by_kind(spark):
+    df = spark.createDataFrame([(i, float(i % 5 == 0), "x") for i in range(100)], "SeedId long, label double, ts string")
+    count = lambda kind, n: {r["label"]: r["n"] for r in seeds.sample_for(df, kind, n).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert count("binary", 30) == {1.0: 20, 0.0: 30} and count("share", 50) == {1.0: 10, 0.0: 40}
+    assert count("amount", 7) == {1.0: 20, 0.0: 7} and count("capped", 9) == {1.0: 9, 0.0: 9} and count("all", 1) == {1.0: 20, 0.0: 80}
+    with pytest.raises(ValueError):
+        seeds.sample_for(df, "other", 1)
+    with pytest.raises(ValueError):
+        seeds.sample_n(df, 5, 81)
+
+
+def test_edge_of_any_columns(spark):
+    df = spark.createDataFrame([("c__r__o", "c__r__o__s__l"), ("c__r", "x__s")], "a string, b string")
+    assert [r[0] for r in df.select(rules.edge_of(F.col("a"), F.col("b"))).collect()] == ["s__l", None]
+    ways = spark.createDataFrame([("rev_f2p_x",), ("f2p_x",)], "r string").select(rules.other_way(F.col("r")))
+    assert [r[0] for r in ways.collect()] == ["f2p_x", "rev_f2p_x"]
+
+
+def test_config_by_path(tmp_path):
+    (tmp_path / "c.json").write_text('{"default": [1, 2], "values": {"a|x|b": [3, 4]}}')
+    assert rules.read_config(f"@{tmp_path / 'c.json'}") == ({("a", "x", "b"): [3, 4]}, [1, 2])
+
+
+def test_metric_choice_and_stop():
+    assert metrics.tune_metric("regression") == ("mae", False)
+    assert metrics.best_epoch([0.5, 0.7, 0.6, float("nan"), 0.65, 0.9], True, 3) == (1, 4)
+    assert metrics.best_epoch([3.0, 2.0, 2.0], False, 5) == (1, 2)
+    with pytest.raises(ValueError):
+        metrics.tune_metric("other")
+
+
+def test_knn_mi_against_plain_counts():
+    """Ross' estimator, by its definition over all pairs."""
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 3, 150)
+    x = rng.standard_normal(150) + y
+    got = scoring.knn_mi(x, y, True)
+    noise = np.random.default_rng(0)
+    z = x / x.std() + 1e-10 * max(1.0, np.abs(x / x.std()).mean()) * noise.standard_normal(150)
+    total = 0.0
+    for i in range(150):
+        same = np.sort([abs(z[i] - z[j]) for j in range(150) if j != i and y[j] == y[i]])
+        reach = same[2]
+        m = sum(abs(z[i] - z[j]) < reach for j in range(150))
+        total += digamma(150) + digamma(3) - digamma(int((y == y[i]).sum())) - digamma(m)
+    assert abs(got - max(0.0, total / 150)) < 1e-9
+
+
 def test_bounds(spark):
     rows = [(1, "p", "a", "log_rate", 1, 0.5, 10, 5), (1, "p", "a", "log_count", 1, 0.25, 10, 5), (1, "p", "dead", "log_rate", 1, 0.0, 10, 0)]
     scores = spark.createDataFrame(rows, "hop int, prefix string, feature string, aggregate_type string, batch_id int, score double, n_samples long, n_nonzero long")
@@ -184,7 +271,7 @@ def test_config_forms():
     assert rules.config_tag("") == "random" and rules.config_tag("/x/t_3hops.py") == "t_3hops"
     with pytest.raises(ValueError):
         rules.config_tag("x.txt")
-    assert rules.reverse_rel(rules.reverse_rel("f2p_x")) == "f2p_x"
+
 
 
 def test_decoded_blocks():
