@@ -26,30 +26,36 @@ def start(db: Database, seeds: DataFrame, table: str, timed: bool = True) -> Dat
     return joined.select(*SEED, F.col("SeedId").alias("last_id"))
 
 
-def extend(db: Database, frontier: DataFrame, edge: Edge, distinct: bool = True, inclusive: bool = False) -> DataFrame:
+def extend(db: Database, frontier: DataFrame, edge: Edge, distinct: bool = True, inclusive: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """The frontier one edge further; the time of each row reached must be before the seed's (or at it).
 
-    Forward steps look up the row's foreign key, reverse steps the rows that point at it. Distinct on the
-    three columns alone: other columns follow from last_id, so the set stays narrow.
+    Forward steps take the row's foreign key, from the frontier if it carries that or else from the table;
+    reverse steps look up the rows that point at the last. `carry` names foreign keys of the table reached that
+    later steps follow: they come along, so that those steps need not join the table again.
     """
     src, rel, dst = edge
     column = fk_column(rel)
     target = db.meta(dst)
-    carry = [F.col(target.time).alias("_time")] if target.time else []
+    time = [F.col(target.time).alias("_time")] if target.time else []
+    keys = [F.col(c).cast("long").alias(c) for c in carry]
     if is_reverse(rel):
-        rows = db.keyed(dst).select(F.col(column).cast("long").alias("last_id"), F.col("_rowid").alias("_next"), *carry)
-        joined = frontier.join(rows, "last_id")
+        rows = db.keyed(dst).select(F.col(column).cast("long").alias("last_id"), F.col("_rowid").alias("_next"), *time, *keys)
+        joined = frontier.select(*SEED, "last_id").join(rows, "last_id")
     else:
         if not target.pk:
             raise ValueError(f"{dst} has no primary key to follow {rel} to")
-        keys = db.keyed(src).select(F.col("_rowid").alias("last_id"), F.col(column).cast("long").alias("_next"))
-        joined = frontier.join(keys, "last_id")
-        parent = db.read(dst).select(F.col(target.pk).cast("long").alias("_next"), *carry)
-        joined = joined.join(parent, "_next") if target.time else joined.join(parent, "_next", "left_semi")
+        if column in frontier.columns:
+            joined = frontier.select(*SEED, F.col(column).alias("_next")).where("_next is not null")
+        else:
+            at = db.keyed(src).select(F.col("_rowid").alias("last_id"), F.col(column).cast("long").alias("_next"))
+            joined = frontier.select(*SEED, "last_id").join(at, "last_id")
+        parent = db.read(dst).select(F.col(target.pk).cast("long").alias("_next"), *time, *keys)
+        joined = joined.distinct() if distinct and column in frontier.columns else joined
+        joined = joined.join(parent, "_next") if time or keys else joined.join(parent, "_next", "left_semi")
     if target.time:
         joined = joined.where(F.col("_time") <= F.col("ts") if inclusive else F.col("_time") < F.col("ts"))
-    out = joined.select(*SEED, F.col("_next").alias("last_id"))
-    return out.distinct() if distinct else out
+    out = joined.select(*SEED, F.col("_next").alias("last_id"), *carry)
+    return out.distinct() if distinct and (is_reverse(rel) or column not in frontier.columns) else out
 
 
 def unique_step(edge: Edge, before: Path) -> bool:
@@ -62,9 +68,14 @@ def along(db: Database, seeds: DataFrame, path: Path, timed: bool = False) -> Da
     """The frontier at the end of a path; distinct only where the keys do not already make it so."""
     out = start(db, seeds, path[0][0], timed)
     for k, edge in enumerate(path):
-        out = extend(db, out, edge, distinct=not unique_step(edge, path[:k]))
+        out = extend(db, out, edge, distinct=not unique_step(edge, path[:k]), carry=followed(path[k + 1 : k + 2]))
     return out
 
 
+def followed(edges: Path) -> tuple[str, ...]:
+    """Foreign keys that forward edges follow."""
+    return tuple(sorted({fk_column(e[1]) for e in edges if not is_reverse(e[1])}))
+
+
 def to_one(path: Path) -> bool:
     return all(not is_reverse(e[1]) for e in path)

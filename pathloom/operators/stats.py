@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.catalog import Database
 from .cut import cut
-from .frontier import SEED, along, extend, start, to_one, unique_step
+from .frontier import SEED, along, extend, followed, start, to_one, unique_step
 from .graph import Path, feature_name, is_reverse, path_name
 
 
@@ -64,7 +64,8 @@ def all_counts(db: Database, seeds: DataFrame, paths: list[Path]) -> DataFrame:
     uses = {p: (p in walked) + sum(1 for q in needed if q[:-1] == p) for p in needed}
     at: dict[Path, DataFrame] = {(): start(db, seeds, paths[0][0][0], timed=False)}
     for p in sorted(needed, key=len):
-        reached = extend(db, at[p[:-1]], p[-1], distinct=not unique_step(p[-1], p[:-1]))
+        onwards = followed(tuple(q[-1] for q in needed if q[:-1] == p))
+        reached = extend(db, at[p[:-1]], p[-1], distinct=not unique_step(p[-1], p[:-1]), carry=onwards)
         at[p] = cut(reached) if uses[p] > 1 else reached
     parts = []
     for k, p in enumerate(paths):

@@ -47,9 +47,15 @@ class Database:
     def __init__(self, spark: SparkSession, path: str, tables: dict[str, TableMeta] | None = None):
         self.spark, self.path, self.tables = spark, path, dict(tables or SHOP)
         self.frames: dict[str, DataFrame] = {}
+        self._read: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.frames[name] if name in self.frames else self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """The table; its files are listed once, however many steps read it."""
+        if name in self.frames:
+            return self.frames[name]
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self._read[name]
 
     def add(self, meta: TableMeta, frame: DataFrame) -> None:
         """Register a frame as a table of this database, in place of a file of that name."""
