@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, components, forest, forget, private, raw, sorted_groups, written
@@ -129,6 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # --- similarity of shingle sets -----------------------------------------------------------------
 
 SMALL, BOTH = 32, 40  # a set of fewer than SMALL shingles is compared with sets of fewer than BOTH alone
+HOT = 512  # classes; a key that more share is replaced by rarer ones
 KEPT = 32  # blocks of a set that are keyed
 SKETCH = 8  # words of 64 bits
 _U = np.uint64
@@ -265,25 +266,57 @@ def _large_pairs(group: pa.Table, least: float) -> tuple[list[tuple[int, int]],
     return sure, left
 
 
-def _alike(classes: DataFrame, least: float, tile: int) -> DataFrame:
-    """(a, b, sure): pairs of classes (c, n, sig, raw, keys) that share a key and are alike, or may be (not sure)."""
-    keyed = classes.select("c", "n", F.explode("keys").alias("key"))
-    dealt = _dealt(keyed.select("key", "c"), "c", tile).join(classes.select("c", "n", "sig", "raw"), "c")
+def _judged(dealt: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(a, b, sure): pairs of classes of one group (key, i, j, c) that are alike, or may be (not sure)."""
+    joined = dealt.select("key", "i", "j", "c").join(classes.select("c", "n", "sig", "raw"), "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["key", "i", "j"]):
-            c = group.column("c").to_numpy()
-            if group.column("raw").null_count == 0:
-                sure, left = _small_pairs(group, least), []
-            else:
-                sure, left = _large_pairs(group, least)
-            for pairs, flag in ((sure, True), (left, False)):
+            small, large = group.filter(group.column("raw").is_valid()), group.filter(group.column("sig").is_valid())
+            found = []
+            if small.num_rows > 1:
+                found.append((small, _small_pairs(small, least), True))
+            if large.num_rows > 1:
+                sure, left = _large_pairs(large, least)
+                found += [(large, sure, True), (large, left, False)]
+            for rows, pairs, flag in found:
+                c = rows.column("c").to_numpy()
                 for k in range(0, len(pairs), 50_000):
                     a, b = np.array(pairs[k : k + 50_000]).T
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[a], c[b])), pa.array(np.maximum(c[a], c[b])), pa.array(np.full(a.size, flag))], ["a", "b", "sure"])
 
-    out = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, sure boolean")
-    return out.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    return joined.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, sure boolean")
+
+
+def _alike(classes: DataFrame, texts: DataFrame, shingle: int, least: float, tile: int, hot: int) -> DataFrame:
+    """(a, b, sure): pairs of classes (c, n, sig, raw, keys) that share a key and are alike, or may be (not sure).
+
+    A key of more than `hot` classes (a passage that very many texts share makes such keys) is not worked on
+    as it is. Pairs that share one are found by an exact prefix filter over the classes with such keys:
+    shingles are ordered by how many of these classes have them, rarest first, and each class is keyed by as
+    many of its first as make sure that two sets of similarity `least` have one in common. A passage's
+    shingles come last in that order, so texts that share no more than it do not meet.
+    """
+    keyed = classes.select(F.explode("keys").alias("key"), "c")
+    counted = written(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "set-keys")
+    cool = keyed.join(counted.where(F.col("m") <= hot), "key").select("key", "c", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    found = _judged(cool, classes, least)
+    often = counted.where(F.col("m") > hot)
+    if not often.isEmpty():
+        ids = keyed.join(often, "key").select("c").distinct()
+        whole = written(_hashes(classes.join(ids, "c"), texts, shingle), "hot-sets")
+        each = whole.select("c", F.size("h").alias("n"), F.explode("h").alias("key"))
+        ranked = each.join(each.groupBy("key").agg(F.count("*").alias("m")), "key")
+        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy("m", "key")))  # one class's shingles
+        prefix = ranked.where((F.col("m") > 1) & (F.col("place") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1)).select("key", "c")
+        found = found.unionByName(_judged(_dealt(prefix, "c", tile), classes, least))
+    return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def _hashes(classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(c, h): the whole shingle sets of classes, from one text of each."""
+    own = classes.select("c", F.col("row.a").alias("a"), F.col("row.b").alias("b"))
+    return texts.join(own, ["a", "b"]).dropDuplicates(["c"]).select("c", "text").mapInArrow(lambda it: _whole(it, shingle), "c long, h array<long>")
 
 
 def _identified(docs: DataFrame) -> tuple[DataFrame, str, str]:
@@ -293,7 +326,7 @@ def _identified(docs: DataFrame) -> tuple[DataFrame, str, str]:
     return docs.withColumns({a: F.xxhash64(*plain), b: F.hash(*plain)}), a, b
 
 
-def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, tile: int = TILE) -> DataFrame:
+def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, tile: int = TILE, hot: int = HOT) -> DataFrame:
     """(a, b, doc_id, c, component): for each row of docs its identity (a, b), class and component of classes.
 
     Rows with equal sets of word shingles are one class; classes whose sets have a Jaccard similarity of
@@ -305,13 +338,12 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, tile: int = T
     texts = marked.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(_sets(texts, shingle, least), "sets")
     classes = written(rows.groupBy("c").agg(F.min(F.struct("a", "b")).alias("row"), *[F.first(x).alias(x) for x in ("n", "sig", "raw", "keys")]), "set-classes")
-    found = written(_alike(classes, least, tile), "set-links")
+    found = written(_alike(classes, texts, shingle, least, tile, hot), "set-links")
     sure = found.where("sure").select("a", "b")
     left = found.where("not sure").select("a", "b")
     if not left.isEmpty():
         ends = left.select(F.col("a").alias("c")).unionByName(left.select(F.col("b").alias("c"))).distinct()
-        own = classes.join(ends, "c").select("c", F.col("row.a").alias("a"), F.col("row.b").alias("b"))
-        whole = written(texts.join(own, ["a", "b"]).dropDuplicates(["c"]).select("c", "text").mapInArrow(lambda it: _whole(it, shingle), "c long, h array<long>"), "set-hashes")
+        whole = written(_hashes(classes.join(ends, "c"), texts, shingle), "set-hashes")
         pairs = left.join(whole.select(F.col("c").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("c").alias("b"), F.col("h").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         sure = sure.unionByName(pairs.where(both >= least * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
