@@ -130,6 +130,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 SMALL, BOTH = 32, 40  # a set of fewer than SMALL shingles is compared with sets of fewer than BOTH alone
 HOT = 512  # classes; a key that more share is replaced by rarer ones
+SURE = 2.0  # above every estimate
 KEPT = 32  # blocks of a set that are keyed
 SKETCH = 8  # words of 64 bits
 _U = np.uint64
@@ -199,14 +200,20 @@ def keys(h: np.ndarray, least: float) -> list[int]:
     return out
 
 
-def _jaccard(distance: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
+_D = np.arange(64 * SKETCH + 1)
+_SLACK = 4 * np.sqrt(np.maximum(_D, 1) * (64 * SKETCH - _D) / (64 * SKETCH))
+_UP, _DOWN = (_D + _SLACK)[: 32 * SKETCH], np.maximum(_D - _SLACK, 0)
+
+
+def _jaccard(distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity of sets of sizes a and b whose sketches differ in so many bits."""
     both = np.cos(np.pi * np.clip(distance / (64 * SKETCH), 0, 1)) * np.sqrt(a * b.astype(float))
     return both / np.maximum(a + b - both, 1e-9)
 
 
 def _bounds(sketches: np.ndarray, n: np.ndarray, at: int, rest: np.ndarray, width: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """Similarities that are `width` deviations of the sketch below and above the estimate; sizes alone bound it too."""
+    """Similarities that are `width` deviations of the sketch below and above the estimate; sizes alone bound it too.
+    _limits() gives the same decisions in bits."""
     d = np.bitwise_count(sketches[rest] ^ sketches[at]).sum(1, dtype=np.int64)
     bits = 64 * SKETCH
     slack = width * np.sqrt(np.maximum(d, 1) * (bits - d) / bits)
@@ -215,6 +222,15 @@ def _bounds(sketches: np.ndarray, n: np.ndarray, at: int, rest: np.ndarray, widt
     return _jaccard(d + slack, a, b), np.where(d == 0, most, np.minimum(_jaccard(d - slack, a, b), most))
 
 
+def _limits(a: int, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """In how many bits the sketches of sets of sizes a and b may differ at most if the sets are alike by four
+    deviations of the sketch, and if they may be alike; -1: in none, the sizes alone forbid it."""
+    cosine = least * (a + b) / ((1 + least) * np.sqrt(a * b.astype(float)))
+    limit = 64 * SKETCH / np.pi * np.arccos(np.minimum(cosine, 1))
+    fits = np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
+    return tuple(np.where(fits, np.searchsorted(edge, limit, "right") - 1, -1) for edge in (_UP, _DOWN))
+
+
 def _sets(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """(_a, _b, doc_id, c, n, sig, raw, keys) of rows (_a, _b, doc_id, text)."""
 
@@ -247,49 +263,112 @@ def _small_pairs(group: pa.Table, least: float) -> list[tuple[int, int]]:
     return forest(n.size, near)
 
 
-def _large_pairs(group: pa.Table, least: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(sure, open): a forest of pairs that their sketches prove alike, and the pairs of different trees that
-    the sketches leave open."""
+def _large_pairs(group: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sure, open, estimates): a forest of pairs that their sketches prove alike, and the pairs of different
+    trees that the sketches leave open, with their estimated similarities."""
     n = group.column("n").to_numpy()
-    sketches = np.frombuffer(b"".join(group.column("sig").to_pylist()), _U).reshape(-1, SKETCH)
-    sure = forest(n.size, lambda at, rest: _bounds(sketches, n, at, rest)[0] >= least)
+    sketches = np.ascontiguousarray(np.frombuffer(b"".join(group.column("sig").to_pylist()), _U).reshape(-1, SKETCH).T)
+    sizes, place = np.unique(n, return_inverse=True)
+
+    def apart(at: int, rest: np.ndarray | slice) -> np.ndarray:
+        return np.bitwise_count(sketches[:, rest] ^ sketches[:, at, None]).sum(0, dtype=np.int16)
+
+    sure = forest(n.size, lambda at, rest: apart(at, rest) <= _limits(int(n[at]), sizes, least)[0][place[rest]])
     tree = np.arange(n.size)
     for a, b in sure:  # forest() gives a tree's edges from its root outwards
         tree[b] = tree[a]
-    left = []
+    left, bits = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int16)]
     if len(sure) < n.size - 1:
         for at in range(n.size - 1):
-            rest = np.arange(at + 1, n.size)
-            rest = rest[tree[rest] != tree[at]]
-            if rest.size:
-                left += [(at, int(k)) for k in rest[_bounds(sketches, n, at, rest)[1] >= least]]
-    return sure, left
+            rest = slice(at + 1, None)
+            d = apart(at, rest)
+            hit = np.flatnonzero((d <= _limits(int(n[at]), sizes, least)[1][place[rest]]) & (tree[rest] != tree[at]))
+            left.append(np.stack([np.full(hit.size, at), at + 1 + hit]))
+            bits.append(d[hit])
+    pairs, d = np.concatenate(left, 1), np.concatenate(bits)
+    return np.array(sure, np.int64).reshape(-1, 2).T, pairs, _jaccard(d, n[pairs[0]], n[pairs[1]])
 
 
 def _judged(dealt: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(a, b, sure): pairs of classes of one group (key, i, j, c) that are alike, or may be (not sure)."""
-    joined = dealt.select("key", "i", "j", "c").join(classes.select("c", "n", "sig", "raw"), "c")
+    """(a, b, like, g): pairs of classes of one group (key, i, j, c) that are alike (like: SURE), or may be, and
+    in that case how alike their sketches are; g names the group."""
+    joined = dealt.select("key", "i", "j", "c", F.xxhash64("key", "i", "j").alias("g")).join(classes.select("c", "n", "sig", "raw"), "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["key", "i", "j"]):
             small, large = group.filter(group.column("raw").is_valid()), group.filter(group.column("sig").is_valid())
             found = []
             if small.num_rows > 1:
-                found.append((small, _small_pairs(small, least), True))
+                found.append((small, np.array(_small_pairs(small, least), np.int64).reshape(-1, 2).T, None))
             if large.num_rows > 1:
-                sure, left = _large_pairs(large, least)
-                found += [(large, sure, True), (large, left, False)]
-            for rows, pairs, flag in found:
+                sure, left, like = _large_pairs(large, least)
+                found += [(large, sure, None), (large, left, like)]
+            g = group.column("g")[0].as_py()
+            for rows, pairs, like in found:
                 c = rows.column("c").to_numpy()
-                for k in range(0, len(pairs), 50_000):
-                    a, b = np.array(pairs[k : k + 50_000]).T
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[a], c[b])), pa.array(np.maximum(c[a], c[b])), pa.array(np.full(a.size, flag))], ["a", "b", "sure"])
+                for k in range(0, pairs.shape[1], 50_000):
+                    a, b = c[pairs[:, k : k + 50_000]]
+                    about = np.full(a.size, SURE) if like is None else like[k : k + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(about), pa.array(np.full(a.size, g))], ["a", "b", "like", "g"])
+
+    # many groups are little data and much work: AQE, which goes by bytes, would put them into few tasks
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return joined.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, like double, g long")
+
+
+def _compared(left: DataFrame, known: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float, size: int = 1 << 16) -> DataFrame:
+    """(a, b): of the open pairs, alike ones by whole sets, enough to connect all that are.
 
-    return joined.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, sure boolean")
+    Pairs that links already found (known: node, component) connect are left out. The others meet in the group
+    that found them, with each set once; likest first, a pair that those before it connect is not compared. A
+    group whose sets have more than `size` shingles is cut into cells by both ends of its pairs.
+    """
+    ends = left.join(known.select(F.col("node").alias("a"), F.col("component").alias("u")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("component").alias("v")), "b", "left")
+    ends = ends.withColumns({"u": F.coalesce("u", "a"), "v": F.coalesce("v", "b")}).where("u <> v")
+    ends = written(ends.select("a", "b", "u", "v", "like", "g"), "set-open")
+    members = ends.select("g", F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "n"), "c")
+    parts = members.groupBy("g").agg(F.ceil(F.sum("n") / size).alias("s"))
+    cell = F.pmod(F.xxhash64("a"), F.col("s")) * F.col("s") + F.pmod(F.xxhash64("b"), F.col("s"))
+    pairs = ends.join(parts, "g").withColumn("cell", cell).drop("s")
+    group = ["g", "cell"]
+    need = pairs.select(*group, F.explode(F.array("a", "b")).alias("c")).distinct()
+    sets = _hashes(classes.join(need.select("c").distinct(), "c"), texts, shingle)
+    none = F.lit(None).cast("long")
+    rows = need.join(sets, "c").select(*group, F.col("c").alias("a"), none.alias("b"), none.alias("u"), none.alias("v"), F.lit(SURE).alias("like"), "h")
+    rows = rows.unionByName(pairs.withColumn("h", F.lit(None).cast("array<long>")))
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, group):
+            own, asked = rows.filter(rows.column("b").is_null()), rows.filter(rows.column("b").is_valid())
+            flat = {c: h.values.to_numpy().view(_U) for c, h in zip(own.column("a").to_pylist(), own.column("h"), strict=True)}
+            root: dict[int, int] = {}
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while (up := root.get(x, x)) != x:
+                    root[x] = root.get(up, up)
+                    x = up
+                return x
+
+            found = []
+            for a, b, u, v in zip(*(asked.column(x).to_pylist() for x in ("a", "b", "u", "v")), strict=True):
+                u, v = find(u), find(v)
+                if u != v:
+                    x, y = flat[a], flat[b]
+                    both = np.intersect1d(x, y, assume_unique=True).size
+                    if both >= least * (x.size + y.size - both) - 1e-9:
+                        root[u] = v
+                        found.append((a, b))
+            if found:
+                a, b = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.repartition(tasks, *group).sortWithinPartitions(*group, F.desc("like")).mapInArrow(run, "a long, b long")
 
 
 def _alike(classes: DataFrame, texts: DataFrame, shingle: int, least: float, tile: int, hot: int) -> DataFrame:
-    """(a, b, sure): pairs of classes (c, n, sig, raw, keys) that share a key and are alike, or may be (not sure).
+    """(a, b, like, g): pairs of classes (c, n, sig, raw, keys) that share a key and are alike (like: SURE), or
+    may be, and one group that has them.
 
     A key of more than `hot` classes (a passage that very many texts share makes such keys) is not worked on
     as it is. Pairs that share one are found by an exact prefix filter over the classes with such keys:
@@ -310,7 +389,7 @@ def _alike(classes: DataFrame, texts: DataFrame, shingle: int, least: float, til
         ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy("m", "key")))  # one class's shingles
         prefix = ranked.where((F.col("m") > 1) & (F.col("place") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1)).select("key", "c")
         found = found.unionByName(_judged(_dealt(prefix, "c", tile), classes, least))
-    return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    return found.groupBy("a", "b").agg(F.max("like").alias("like"), F.min("g").alias("g"))
 
 
 def _hashes(classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -339,15 +418,14 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, tile: int = T
     rows = written(_sets(texts, shingle, least), "sets")
     classes = written(rows.groupBy("c").agg(F.min(F.struct("a", "b")).alias("row"), *[F.first(x).alias(x) for x in ("n", "sig", "raw", "keys")]), "set-classes")
     found = written(_alike(classes, texts, shingle, least, tile, hot), "set-links")
-    sure = found.where("sure").select("a", "b")
-    left = found.where("not sure").select("a", "b")
-    if not left.isEmpty():
-        ends = left.select(F.col("a").alias("c")).unionByName(left.select(F.col("b").alias("c"))).distinct()
-        whole = written(_hashes(classes.join(ends, "c"), texts, shingle), "set-hashes")
-        pairs = left.join(whole.select(F.col("c").alias("a"), F.col("h").alias("x")), "a").join(whole.select(F.col("c").alias("b"), F.col("h").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        sure = sure.unionByName(pairs.where(both >= least * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
+    sure = found.where(F.col("like") == SURE).select("a", "b")
+    left = found.where(F.col("like") < SURE)
     comps = components(sure, "a", "b", "sets")
+    if not left.isEmpty():
+        more = written(_compared(left, comps, classes, texts, shingle, least), "set-more")
+        if not more.isEmpty():
+            roots = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+            comps = components(roots.unionByName(more), "a", "b", "sets")
     forget(found)
     return rows.select("a", "b", "doc_id", "c").join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 

@@ -655,6 +655,19 @@ def test_sketch_bounds_hold():
             assert low[0] - 0.01 <= true <= high[0] + 0.01
 
 
+def test_sketch_limits_as_bounds():
+    d = np.arange(513)
+    sketches = np.zeros((514, 8), np.uint64)
+    for k in d:
+        sketches[k + 1] = np.packbits(np.arange(512) < k).view(np.uint64)
+    for a in (32, 57, 146, 1000):
+        for b in (a, a + 3, a * 5 // 4, a * 5 // 4 + 2, 2 * a):
+            low, high = simhash._bounds(sketches, np.array([a, *[b] * 513]), 0, d + 1)
+            sure, may = (x[0] for x in simhash._limits(a, np.array([b]), 0.8))
+            fits = a >= 0.8 * b - 1e-9  # sets of sizes further apart are never alike
+            assert ((d <= sure) == ((low >= 0.8) & fits)).all() and ((d <= may) == (high >= 0.8)).all()
+
+
 def test_unique_keeps_rows_apart(spark):
     a, b, c = ("one two three four five six seven", "red green blue black white grey pink", "sun moon star sky cloud rain snow")
     rows = [(1, a), (1, a), (2, a), (2, b), (3, b + " pink"), (None, c), (None, c), (4, None), (5, ""), (6, " \n")]
