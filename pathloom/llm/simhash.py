@@ -63,9 +63,12 @@ def _dealt(keyed: DataFrame, member: str, tile: int) -> DataFrame:
     """(key, i, j, member): rows (key, member) of keys that several have; a key of more than `tile` members is
     cut into tiles, and each pair of tiles (i, j) becomes a group of its own: bounded memory, no pair lost."""
     counted = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64(member), F.col("tiles")).cast("int")
-    others = F.sequence(F.lit(0), F.col("tiles") - 1)
-    dealt = keyed.join(counted, "key").withColumn("own", own).withColumn("other", F.explode(others))
+    return _tiled(keyed.join(counted, "key"), member)
+
+
+def _tiled(keyed: DataFrame, member: str) -> DataFrame:
+    """(key, i, j, ...): rows of keys with their number of tiles, one for each pair of tiles that a row is in."""
+    dealt = keyed.withColumn("own", F.pmod(F.xxhash64(member), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return dealt.drop("tiles").withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other")
 
 
@@ -130,8 +133,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 SMALL, BOTH = 32, 40  # a set of fewer than SMALL shingles is compared with sets of fewer than BOTH alone
 HOT = 512  # classes; a key that more share is replaced by rarer ones
-SURE = 2.0  # above every estimate
 KEPT = 32  # blocks of a set that are keyed
+CELL = 1 << 17  # shingles that a task holds of a group whose sets it compares, twice
 SKETCH = 8  # words of 64 bits
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], _U)
@@ -263,112 +266,122 @@ def _small_pairs(group: pa.Table, least: float) -> list[tuple[int, int]]:
     return forest(n.size, near)
 
 
-def _large_pairs(group: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sure, open, estimates): a forest of pairs that their sketches prove alike, and the pairs of different
-    trees that the sketches leave open, with their estimated similarities."""
-    n = group.column("n").to_numpy()
-    sketches = np.ascontiguousarray(np.frombuffer(b"".join(group.column("sig").to_pylist()), _U).reshape(-1, SKETCH).T)
-    sizes, place = np.unique(n, return_inverse=True)
+class _Sketches:
+    """The sketches and sizes of some sets, compared row by row."""
 
-    def apart(at: int, rest: np.ndarray | slice) -> np.ndarray:
-        return np.bitwise_count(sketches[:, rest] ^ sketches[:, at, None]).sum(0, dtype=np.int16)
+    def __init__(self, group: pa.Table, least: float):
+        self.n = group.column("n").to_numpy()
+        self.bits = np.ascontiguousarray(np.frombuffer(b"".join(group.column("sig").to_pylist()), _U).reshape(-1, SKETCH).T)
+        self.sizes, self.place = np.unique(self.n, return_inverse=True)
+        self.least = least
 
-    sure = forest(n.size, lambda at, rest: apart(at, rest) <= _limits(int(n[at]), sizes, least)[0][place[rest]])
-    tree = np.arange(n.size)
-    for a, b in sure:  # forest() gives a tree's edges from its root outwards
-        tree[b] = tree[a]
-    left, bits = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int16)]
-    if len(sure) < n.size - 1:
-        for at in range(n.size - 1):
-            rest = slice(at + 1, None)
-            d = apart(at, rest)
-            hit = np.flatnonzero((d <= _limits(int(n[at]), sizes, least)[1][place[rest]]) & (tree[rest] != tree[at]))
-            left.append(np.stack([np.full(hit.size, at), at + 1 + hit]))
-            bits.append(d[hit])
-    pairs, d = np.concatenate(left, 1), np.concatenate(bits)
-    return np.array(sure, np.int64).reshape(-1, 2).T, pairs, _jaccard(d, n[pairs[0]], n[pairs[1]])
+    def apart(self, at: int, rest: np.ndarray | slice) -> np.ndarray:
+        return np.bitwise_count(self.bits[:, rest] ^ self.bits[:, at, None]).sum(0, dtype=np.int16)
+
+    def sure(self, at: int, rest: np.ndarray) -> np.ndarray:
+        return self.apart(at, rest) <= _limits(int(self.n[at]), self.sizes, self.least)[0][self.place[rest]]
+
+    def may(self, at: int, rest: np.ndarray) -> np.ndarray:
+        return self.apart(at, rest) <= _limits(int(self.n[at]), self.sizes, self.least)[1][self.place[rest]]
+
+
+def _large_pairs(group: pa.Table, least: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(sure, open): a forest of the pairs that their sketches prove alike; where it leaves several trees, also
+    one of all pairs that may be alike. Both are linear in the group."""
+    near = _Sketches(group, least)
+    sure = forest(near.n.size, near.sure)
+    return sure, forest(near.n.size, near.may) if len(sure) < near.n.size - 1 else []
 
 
 def _judged(dealt: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(a, b, like, g): pairs of classes of one group (key, i, j, c) that are alike (like: SURE), or may be, and
-    in that case how alike their sketches are; g names the group."""
-    joined = dealt.select("key", "i", "j", "c", F.xxhash64("key", "i", "j").alias("g")).join(classes.select("c", "n", "sig", "raw"), "c")
+    """(a, b, sure): edges between classes of one group (key, i, j, c) that connect all that are alike (sure), and
+    all that may be (not sure)."""
+    joined = dealt.select("key", "i", "j", "c").join(classes.select("c", "n", "sig", "raw"), "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["key", "i", "j"]):
             small, large = group.filter(group.column("raw").is_valid()), group.filter(group.column("sig").is_valid())
             found = []
             if small.num_rows > 1:
-                found.append((small, np.array(_small_pairs(small, least), np.int64).reshape(-1, 2).T, None))
+                found.append((small, _small_pairs(small, least), True))
             if large.num_rows > 1:
-                sure, left, like = _large_pairs(large, least)
-                found += [(large, sure, None), (large, left, like)]
-            g = group.column("g")[0].as_py()
-            for rows, pairs, like in found:
-                c = rows.column("c").to_numpy()
-                for k in range(0, pairs.shape[1], 50_000):
-                    a, b = c[pairs[:, k : k + 50_000]]
-                    about = np.full(a.size, SURE) if like is None else like[k : k + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(about), pa.array(np.full(a.size, g))], ["a", "b", "like", "g"])
+                sure, left = _large_pairs(large, least)
+                found += [(large, sure, True), (large, left, False)]
+            for rows, pairs, flag in found:
+                if pairs:
+                    a, b = rows.column("c").to_numpy()[np.array(pairs).T]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(a.size, flag))], ["a", "b", "sure"])
 
     # many groups are little data and much work: AQE, which goes by bytes, would put them into few tasks
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, like double, g long")
+    return joined.repartition(_tasks(classes), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, sure boolean")
 
 
-def _compared(left: DataFrame, known: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float, size: int = 1 << 16) -> DataFrame:
-    """(a, b): of the open pairs, alike ones by whole sets, enough to connect all that are.
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    Pairs that links already found (known: node, component) connect are left out. The others meet in the group
-    that found them, with each set once; likest first, a pair that those before it connect is not compared. A
-    group whose sets have more than `size` shingles is cut into cells by both ends of its pairs.
+
+def _compared(found: DataFrame, known: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, least: float, size: int) -> DataFrame:
+    """(a, b): edges between alike classes, by whole sets, that connect what the sketches left open.
+
+    Classes that edges of `found` (a, b) connect, open ones included, and that are not one component of
+    `known` (node, component) yet, meet in a group with their whole sets; no pair is sent. There, pairs of
+    different components that may be alike are compared, likest first, unless those before them connect them.
+    A group of more than `size` shingles is cut into tiles; each two of them meet.
     """
-    ends = left.join(known.select(F.col("node").alias("a"), F.col("component").alias("u")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("component").alias("v")), "b", "left")
-    ends = ends.withColumns({"u": F.coalesce("u", "a"), "v": F.coalesce("v", "b")}).where("u <> v")
-    ends = written(ends.select("a", "b", "u", "v", "like", "g"), "set-open")
-    members = ends.select("g", F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "n"), "c")
-    parts = members.groupBy("g").agg(F.ceil(F.sum("n") / size).alias("s"))
-    cell = F.pmod(F.xxhash64("a"), F.col("s")) * F.col("s") + F.pmod(F.xxhash64("b"), F.col("s"))
-    pairs = ends.join(parts, "g").withColumn("cell", cell).drop("s")
-    group = ["g", "cell"]
-    need = pairs.select(*group, F.explode(F.array("a", "b")).alias("c")).distinct()
-    sets = _hashes(classes.join(need.select("c").distinct(), "c"), texts, shingle)
-    none = F.lit(None).cast("long")
-    rows = need.join(sets, "c").select(*group, F.col("c").alias("a"), none.alias("b"), none.alias("u"), none.alias("v"), F.lit(SURE).alias("like"), "h")
-    rows = rows.unionByName(pairs.withColumn("h", F.lit(None).cast("array<long>")))
-    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = components(found, "a", "b", "open").select(F.col("node").alias("c"), F.col("component").alias("key"))
+    roots = known.select(F.col("node").alias("c"), F.col("component").alias("root"))
+    members = wide.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")).join(classes.where("sig is not null").select("c", "n", "sig"), "c")
+    open_ = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.sum("n") / size).cast("int").alias("tiles"))
+    members = written(members.join(open_.where("low <> high").select("key", "tiles"), "key"), "open-classes")
+    whole = members.join(_hashes(classes.join(members.select("c"), "c"), texts, shingle), "c")
+    dealt = _tiled(whole, "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in sorted_groups(batches, group):
-            own, asked = rows.filter(rows.column("b").is_null()), rows.filter(rows.column("b").is_valid())
-            flat = {c: h.values.to_numpy().view(_U) for c, h in zip(own.column("a").to_pylist(), own.column("h"), strict=True)}
-            root: dict[int, int] = {}
+        for group in sorted_groups(batches, ["key", "i", "j"]):
+            pairs = _compare(group, least)
+            if pairs:
+                a, b = np.array(pairs, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-            def find(x: int, root: dict[int, int] = root) -> int:
-                while (up := root.get(x, x)) != x:
-                    root[x] = root.get(up, up)
-                    x = up
-                return x
+    return dealt.repartition(_tasks(classes), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
-            found = []
-            for a, b, u, v in zip(*(asked.column(x).to_pylist() for x in ("a", "b", "u", "v")), strict=True):
-                u, v = find(u), find(v)
-                if u != v:
-                    x, y = flat[a], flat[b]
-                    both = np.intersect1d(x, y, assume_unique=True).size
-                    if both >= least * (x.size + y.size - both) - 1e-9:
-                        root[u] = v
-                        found.append((a, b))
-            if found:
-                a, b = np.array(found, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return rows.repartition(tasks, *group).sortWithinPartitions(*group, F.desc("like")).mapInArrow(run, "a long, b long")
+def _compare(group: pa.Table, least: float) -> list[tuple[int, int]]:
+    """Alike pairs of one cell of _compared(), enough to connect its components."""
+    near = _Sketches(group, least)
+    c, n = group.column("c").to_numpy(), near.n
+    start, root = np.unique(group.column("root").to_numpy(), return_inverse=True)
+    left, bits = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int16)]
+    for at in range(n.size - 1):
+        rest = at + 1 + np.flatnonzero(root[at + 1 :] != root[at])
+        if rest.size:
+            d = near.apart(at, rest)
+            hit = d <= _limits(int(n[at]), near.sizes, least)[1][near.place[rest]]
+            left.append(np.stack([np.full(int(hit.sum()), at), rest[hit]]))
+            bits.append(d[hit])
+    pairs, d = np.concatenate(left, 1), np.concatenate(bits)
+    pairs = pairs[:, np.argsort(-_jaccard(d, n[pairs[0]], n[pairs[1]]), kind="stable")]
+    sets = [h.values.to_numpy().view(_U) for h in group.column("h")]
+    up = list(range(start.size))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for a, b in pairs.T.tolist():
+        u, v = find(int(root[a])), find(int(root[b]))
+        if u != v:
+            both = np.intersect1d(sets[a], sets[b], assume_unique=True).size
+            if both >= least * (sets[a].size + sets[b].size - both) - 1e-9:
+                up[u] = v
+                out.append((int(c[a]), int(c[b])))
+    return out
 
 
 def _alike(classes: DataFrame, texts: DataFrame, shingle: int, least: float, tile: int, hot: int) -> DataFrame:
-    """(a, b, like, g): pairs of classes (c, n, sig, raw, keys) that share a key and are alike (like: SURE), or
-    may be, and one group that has them.
+    """(a, b, sure): edges between classes (c, n, sig, raw, keys) that share a key and are alike, or may be (not sure).
 
     A key of more than `hot` classes (a passage that very many texts share makes such keys) is not worked on
     as it is. Pairs that share one are found by an exact prefix filter over the classes with such keys:
@@ -389,12 +402,12 @@ def _alike(classes: DataFrame, texts: DataFrame, shingle: int, least: float, til
         ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy("m", "key")))  # one class's shingles
         prefix = ranked.where((F.col("m") > 1) & (F.col("place") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1)).select("key", "c")
         found = found.unionByName(_judged(_dealt(prefix, "c", tile), classes, least))
-    return found.groupBy("a", "b").agg(F.max("like").alias("like"), F.min("g").alias("g"))
+    return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
 def _hashes(classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(c, h): the whole shingle sets of classes, from one text of each."""
-    own = classes.select("c", F.col("row.a").alias("a"), F.col("row.b").alias("b"))
+    own = written(classes.select("c", F.col("row.a").alias("a"), F.col("row.b").alias("b")), "set-rows")  # of known size
     return texts.join(own, ["a", "b"]).dropDuplicates(["c"]).select("c", "text").mapInArrow(lambda it: _whole(it, shingle), "c long, h array<long>")
 
 
@@ -405,7 +418,7 @@ def _identified(docs: DataFrame) -> tuple[DataFrame, str, str]:
     return docs.withColumns({a: F.xxhash64(*plain), b: F.hash(*plain)}), a, b
 
 
-def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, tile: int = TILE, hot: int = HOT) -> DataFrame:
+def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, tile: int = TILE, hot: int = HOT, cell: int = CELL) -> DataFrame:
     """(a, b, doc_id, c, component): for each row of docs its identity (a, b), class and component of classes.
 
     Rows with equal sets of word shingles are one class; classes whose sets have a Jaccard similarity of
@@ -418,11 +431,11 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, tile: int = T
     rows = written(_sets(texts, shingle, least), "sets")
     classes = written(rows.groupBy("c").agg(F.min(F.struct("a", "b")).alias("row"), *[F.first(x).alias(x) for x in ("n", "sig", "raw", "keys")]), "set-classes")
     found = written(_alike(classes, texts, shingle, least, tile, hot), "set-links")
-    sure = found.where(F.col("like") == SURE).select("a", "b")
-    left = found.where(F.col("like") < SURE)
+    sure = found.where("sure").select("a", "b")
+    left = found.where("not sure")
     comps = components(sure, "a", "b", "sets")
     if not left.isEmpty():
-        more = written(_compared(left, comps, classes, texts, shingle, least), "set-more")
+        more = written(_compared(found, comps, classes, texts, shingle, least, cell), "set-more")
         if not more.isEmpty():
             roots = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
             comps = components(roots.unionByName(more), "a", "b", "sets")

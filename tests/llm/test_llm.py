@@ -639,7 +639,7 @@ def test_similar_sets(spark):
     want = plain_groups(texts)
     assert {(got[i], got[j]) for i, j in enumerate(want)} == {(c, c) for c in got.values()}  # alike, so together
     assert len(set(got.values())) == len(set(want))
-    tiled = {r["doc_id"]: r["component"] for r in simhash.similar(documents(spark, texts), tile=4, hot=3).collect()}
+    tiled = {r["doc_id"]: r["component"] for r in simhash.similar(documents(spark, texts), tile=4, hot=3, cell=500).collect()}
     assert len(set(tiled.values())) == len(set(want)) and len({(got[i], tiled[i]) for i in got}) == len(set(want))
 
 
