@@ -132,7 +132,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # --- similarity of shingle sets -----------------------------------------------------------------
 
 SMALL, BOTH = 32, 40  # a set of fewer than SMALL shingles is compared with sets of fewer than BOTH alone
-HOT = 512  # classes; a key that more share is replaced by rarer ones
+HOT = 4 * TILE  # classes; a key that more share is replaced by rarer ones, judging them all would take a task seconds
 KEPT = 32  # blocks of a set that are keyed
 CELL = 1 << 17  # shingles that a task holds of a group whose sets it compares, twice
 SKETCH = 8  # words of 64 bits
