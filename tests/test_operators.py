@@ -372,6 +372,19 @@ def test_two_hop_follows_all(spark, monkeypatch):
     assert sq.two_hop_with_caps(spark, SF).groupBy("hop").count().orderBy("hop").collect() == [(1, 3), (2, 4500)]
 
 
+def test_siblings_are_aggregated_once(spark):
+    """Seeds on one parent get its children's aggregates, as a row for each seed and sibling would give them."""
+    tables = {"p": TableMeta("p", "id"), "c": TableMeta("c", "id", None, {"up": "p"})}
+    frames = {"p": spark.range(2), "c": spark.range(600).select("id", F.when(F.col("id") < 599, 0).otherwise(1).cast("long").alias("up"))}
+    own = spark.range(600).select(F.col("id").alias("SeedId"), F.lit("2020-01-01").cast("timestamp_ntz").alias("ts"))
+    path = (("c", "f2p_up", "p"), ("p", "rev_f2p_up", "c"))
+    out = stats.ends(Made(spark, frames, tables), own, path, F.count("*").alias("n"), F.min("last_id").alias("low"), F.max("last_id").alias("high"))
+    got = {r["SeedId"]: (r["n"], r["low"], r["high"]) for r in out.collect()}
+    assert got == {k: (599, 0, 598) for k in range(599)} | {599: (1, 599, 599)}
+    plain = frontier.along(Made(spark, frames, tables), own, path).groupBy("SeedId").agg(F.count("*").alias("n"), F.min("last_id").alias("low"), F.max("last_id").alias("high"))
+    assert got == {r["SeedId"]: (r["n"], r["low"], r["high"]) for r in plain.collect()}
+
+
 def test_search():
     assert search.beam_search([0, 1, 2], lambda p: [3, 4], lambda p: len(p) + p[0] / 10 if p[0] != 4 else math.nan, 2, 2, 2)[0][0] == (3, 3, 1)
     x, bag, y = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.2]]), np.array([0, 1, 2]), np.array([1, 0, 1])
