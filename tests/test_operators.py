@@ -385,6 +385,41 @@ def test_siblings_are_aggregated_once(spark):
     assert got == {r["SeedId"]: (r["n"], r["low"], r["high"]) for r in plain.collect()}
 
 
+def _loss(spark, pos, neg):
+    df = spark.createDataFrame([(k, 1.0, x) for k, x in enumerate(pos)] + [(-k - 1, 0.0, x) for k, x in enumerate(neg)], "bag_id long, y double, score double")
+    return tuple(search.pairwise_loss(df).first())
+
+
+@pytest.mark.parametrize("width", [0.5, 30.0, 3000.0, 1e7])
+def test_pairwise_loss_against_pairs(spark, width):
+    rng = np.random.default_rng(3)
+    pos, neg = np.round(rng.normal(0, width, 300), 6), np.round(rng.normal(-width / 3, width, 200), 6)
+    neg[:20] = pos[:20]
+    loss, n = _loss(spark, pos.tolist(), neg.tolist())
+    gap = neg[None, :] - pos[:, None]
+    with np.errstate(over="ignore"):
+        want = math.fsum((1 / (1 + np.exp(-gap))).ravel())
+    assert n == 60_000 and loss == pytest.approx(want, rel=1e-13)
+
+
+def test_pairwise_loss_edges(spark):
+    far = _loss(spark, [100.0, 2000.0], [0.0])
+    assert far == (pytest.approx(math.exp(-100), rel=1e-12), 2)
+    assert _loss(spark, [1e300, 1e18], [1e300, -1e300, 1e18]) == (pytest.approx(0.5 + 1 + 0.5, rel=1e-13), 6)
+    assert _loss(spark, [1.0], []) == (0.0, 0)
+    assert _loss(spark, [None, 0.0], [0.0, None]) == (pytest.approx(0.5, rel=1e-13), 4)
+    inf = float("inf")
+    assert _loss(spark, [inf, 0.0], [0.0, -inf]) == (pytest.approx(0.5, rel=1e-13), 4) and _loss(spark, [-inf, 0.0], [inf]) == (2.0, 2)
+    assert math.isnan(_loss(spark, [inf], [inf])[0]) and math.isnan(_loss(spark, [float("nan")], [0.0])[0])
+
+
+def test_pairwise_loss_makes_no_pairs(spark):
+    """10^10 pairs, which no pairwise evaluation ends in the time of a test."""
+    df = spark.range(200_000).select(F.col("id").alias("bag_id"), (F.col("id") % 2).cast("double").alias("y"), (F.floor(F.col("id") / 2) / 7).alias("score"))
+    loss, n = search.pairwise_loss(df).first()
+    assert n == 10**10 and loss == pytest.approx(10**10 / 2, rel=1e-12)  # alike on both sides: sigmoids of x and -x add up to 1
+
+
 def test_search():
     assert search.beam_search([0, 1, 2], lambda p: [3, 4], lambda p: len(p) + p[0] / 10 if p[0] != 4 else math.nan, 2, 2, 2)[0][0] == (3, 3, 1)
     x, bag, y = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.2]]), np.array([0, 1, 2]), np.array([1, 0, 1])
