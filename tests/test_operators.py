@@ -420,6 +420,20 @@ def test_pairwise_loss_makes_no_pairs(spark):
     assert n == 10**10 and loss == pytest.approx(10**10 / 2, rel=1e-12)  # alike on both sides: sigmoids of x and -x add up to 1
 
 
+def test_beam_judges_only_to_choose(spark, monkeypatch):
+    """Losses decide between relations; where all are taken none is computed."""
+    edges = spark.createDataFrame([(1, "a", 3), (2, "b", 3), (1, "b", 4), (2, "a", 4)], "src long, rel string, dst long")
+    bags = spark.createDataFrame([(1, 1, 1.0, 1.0), (2, 2, 1.0, 0.0)], "bag_id long, id long, alpha double, y double")
+    feats = spark.createDataFrame([(k, [float(k)]) for k in range(1, 5)], "id long, x array<double>")
+    weights = feats.select("id", F.lit(0.5).alias("w"))
+    judged, plain = [], search.pairwise_loss
+    monkeypatch.setattr(search, "pairwise_loss", lambda scores: judged.append(1) or plain(scores))
+    both = search.beam_over_tables(bags, edges, feats, weights, [1.0], 1, 2, 2).collect()
+    assert {r["path"] for r in both} == {"a", "b"} and not judged
+    best = search.beam_over_tables(bags, edges, feats, weights, [1.0], 1, 1, 2).collect()
+    assert len(best) == 1 and len(judged) == 2 and best[0] in both
+
+
 def test_search():
     assert search.beam_search([0, 1, 2], lambda p: [3, 4], lambda p: len(p) + p[0] / 10 if p[0] != 4 else math.nan, 2, 2, 2)[0][0] == (3, 3, 1)
     x, bag, y = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.2]]), np.array([0, 1, 2]), np.array([1, 0, 1])
