@@ -133,7 +133,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 SMALL, BOTH = 32, 40  # a set of fewer than SMALL shingles is compared with sets of fewer than BOTH alone
 HOT = 4 * TILE  # classes; a key that more share is replaced by rarer ones, judging them all would take a task seconds
-KEPT = 32  # blocks of a set that are keyed
+BITS = 16  # of a block of a fingerprint
+EVEN = 16  # classes of a block's value that are compared at once with those of other values
 CELL = 1 << 17  # shingles that a task holds of a group whose sets it compares, twice
 SKETCH = 8  # words of 64 bits
 _U = np.uint64
@@ -176,31 +177,9 @@ def sketch(h: np.ndarray) -> bytes:
 
 
 def keys(h: np.ndarray, least: float) -> list[int]:
-    """Keys that a set shares with every set that is like it.
-
-    A small set is keyed by its least hashes, as many as make sure that two sets of similarity `least` have
-    one in common. A larger one deals its shingles to blocks by hash, four to eight to a block (fewer in
-    sets below 128), and is keyed by the first KEPT: of two sets, a block that no difference falls in is
-    the same in both. The number of blocks goes by powers of two of the size; a set that may be the larger
-    of a pair across such a border is keyed for the lower side as well.
-    """
-    n = h.size
-    out: list[int] = []
-    if n < BOTH:
-        out += _mix(h[: math.floor((1 - least) * n + 1e-9) + 1], _ODD[5]).view(np.int64).tolist()
-    if n >= SMALL:
-        level = n.bit_length() - 1
-        for k in (level, level - 1) if least * n < 1 << level and level > 5 else (level,):
-            m = max(1 << k >> 2, min(1 << k, KEPT))
-            block = (_mix(h, _ODD[6]) >> _U(20)) % _U(m)
-            own = np.flatnonzero(block < KEPT)
-            own = own[np.argsort(block[own], kind="stable")]
-            if own.size:
-                at = block[own]
-                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                sums = np.add.reduceat(_mix(h[own], _ODD[7]), first)
-                out += _mix(sums ^ (at[first] * _ODD[3] + _U(k)), _ODD[4]).view(np.int64).tolist()
-    return out
+    """Keys of a small set, too few shingles for a fingerprint: its least hashes, as many as make sure that two
+    sets of similarity `least` have one in common. None for a larger set."""
+    return _mix(h[: math.floor((1 - least) * h.size + 1e-9) + 1], _ODD[5]).view(np.int64).tolist() if h.size < BOTH else []
 
 
 _D = np.arange(64 * SKETCH + 1)
@@ -235,7 +214,7 @@ def _limits(a: int, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray
 
 
 def _sets(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(_a, _b, doc_id, c, n, sig, raw, keys) of rows (_a, _b, doc_id, text)."""
+    """(_a, _b, doc_id, c, n, sig, more, raw, keys) of rows (_a, _b, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,11 +223,11 @@ def _sets(docs: DataFrame, shingle: int, least: float) -> DataFrame:
                 for t in raw(part, "text"):
                     h = shingle_set(t, shingle)
                     c = xxhash.xxh64_intdigest(h.tobytes(), SEED) if h.size else 0
-                    rows.append((c - (1 << 64) if c >> 63 else c, h.size, sketch(h) if h.size >= SMALL else None, h.tobytes() if h.size < BOTH else None, keys(h, least)))
-                columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), part.column("doc_id"), *columns], ["a", "b", "doc_id", "c", "n", "sig", "raw", "keys"])
+                    rows.append((c - (1 << 64) if c >> 63 else c, h.size, sketch(h) if h.size >= SMALL else None, sketch(_mix(h, _ODD[4])) if h.size >= SMALL else None, h.tobytes() if h.size < BOTH else None, keys(h, least)))
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), part.column("doc_id"), *columns], ["a", "b", "doc_id", "c", "n", "sig", "more", "raw", "keys"])
 
-    return docs.mapInArrow(run, "a long, b int, doc_id long, c long, n long, sig binary, raw binary, keys array<long>")
+    return docs.mapInArrow(run, "a long, b int, doc_id long, c long, n long, sig binary, more binary, raw binary, keys array<long>")
 
 
 def _small_pairs(group: pa.Table, least: float) -> list[tuple[int, int]]:
@@ -316,6 +295,103 @@ def _judged(dealt: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return joined.repartition(_tasks(classes), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, sure boolean")
 
 
+def _values(batch: pa.RecordBatch) -> np.ndarray:
+    """Each row's blocks, numbered: the block's place above its BITS bits, by the two fingerprints of 512 bits."""
+    words = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig", "more")]
+    value = np.concatenate(words, 1).astype(np.int32)
+    return (np.arange(value.shape[1], dtype=np.int32) << BITS) + value
+
+
+def _pigeonholes(classes: DataFrame, tile: int, hot: int) -> DataFrame:
+    """(key, i, j, c, n, sig): classes with fingerprints, under each of the 64 blocks of these. A block's value of
+    more than about `hot` classes is cut into tiles of `tile`, and each two of them meet: no pair is lost."""
+    large = classes.where("sig is not null").select("c", "n", "sig", "more")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                value = _values(batch)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), value.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(value.reshape(-1)), *(batch.column(c).take(at) for c in ("c", "n", "sig"))], ["key", "c", "n", "sig"])
+
+    least = max(1, hot // (2 * _tasks(classes)))  # in one task; others are too rare to be hot
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2 * 64 * SKETCH // BITS) << BITS, np.int32)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(_values(batch).reshape(-1), minlength=total.size).astype(np.int32)
+        at = np.flatnonzero(total >= least)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["key", "m"])
+
+    dealt = large.mapInArrow(deal, "key int, c long, n long, sig binary")
+    often = written(large.select("sig", "more").mapInArrow(count, "key int, m long").groupBy("key").agg(F.sum("m").alias("m")).where(F.col("m") > hot), "hot-blocks")
+    if often.isEmpty():
+        return dealt.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    tiles = F.coalesce(F.ceil(F.col("m") / tile).cast("int"), F.lit(1))
+    return _tiled(dealt.join(F.broadcast(often), "key", "left").withColumn("tiles", tiles).drop("m"), "c")
+
+
+def _near(pigeonholes: DataFrame, least: float, tasks: int) -> DataFrame:
+    """(a, b, sure): edges between classes that share a block and whose fingerprints differ in few enough bits to be
+    alike (sure), or perhaps alike (not sure); enough of them to connect all such classes of a group."""
+    widest = int(_limits(1, np.ones(1, np.int64), least)[1][0])
+
+    def pairs_of(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of small groups, compared at once, then forests of the larger ones."""
+        key = np.stack([group.column(x).to_numpy() for x in ("key", "i", "j")])
+        n, c = group.column("n").to_numpy(), group.column("c").to_numpy()
+        bits = np.frombuffer(b"".join(group.column("sig").to_pylist()), _U).reshape(-1, SKETCH)
+        start = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, n.size]
+        size = np.diff(start)
+        even = np.repeat(size <= EVEN, size)
+        to_end = np.repeat(start[1:], size) - np.arange(n.size)
+        for shift in range(1, min(EVEN, int(size.max()))):
+            at = np.flatnonzero(even & (to_end > shift))
+            d = np.bitwise_count(bits[at] ^ bits[at + shift]).sum(1, dtype=np.int16)
+            at, d = at[d <= widest], d[d <= widest]
+            sure, may = _limits(n[at], n[at + shift], least)
+            yield c[at[d <= may]], c[at[d <= may] + shift], (d <= sure)[d <= may]
+        for k in np.flatnonzero(size > EVEN):
+            own = slice(start[k], start[k + 1])
+            for found, flag in zip(_large_pairs(group.slice(int(start[k]), int(size[k])), least), (True, False), strict=True):
+                if found:
+                    x, y = c[own][np.array(found).T]
+                    yield x, y, np.full(x.size, flag)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches, ["key", "i", "j"]):
+            found = list(pairs_of(group))
+            a, b, sure = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(3))
+            if a.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure.astype(bool))], ["a", "b", "sure"])
+
+    return pigeonholes.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, sure boolean")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows or more from batches sorted by keys; no group is in two of them."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        kept.append(batch)
+        if sum(x.num_rows for x in kept) < rows:
+            continue
+        now = pa.Table.from_batches(kept)
+        columns = [now.column(k).to_numpy() for k in keys]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+        if cuts.size:
+            end = int(cuts[-1]) + 1
+            yield now.slice(0, end)
+            kept = now.slice(end).combine_chunks().to_batches()
+        else:
+            kept = now.combine_chunks().to_batches()
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
 def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -381,7 +457,8 @@ def _compare(group: pa.Table, least: float) -> list[tuple[int, int]]:
 
 
 def _alike(classes: DataFrame, texts: DataFrame, shingle: int, least: float, tile: int, hot: int) -> DataFrame:
-    """(a, b, sure): edges between classes (c, n, sig, raw, keys) that share a key and are alike, or may be (not sure).
+    """(a, b, sure): edges between classes (c, n, sig, more, raw, keys) that share a block of their fingerprints, or a
+    key of small sets, and are alike, or may be (not sure).
 
     A key of more than `hot` classes (a passage that very many texts share makes such keys) is not worked on
     as it is. Pairs that share one are found by an exact prefix filter over the classes with such keys:
@@ -402,6 +479,7 @@ def _alike(classes: DataFrame, texts: DataFrame, shingle: int, least: float, til
         ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy("m", "key")))  # one class's shingles
         prefix = ranked.where((F.col("m") > 1) & (F.col("place") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1)).select("key", "c")
         found = found.unionByName(_judged(_dealt(prefix, "c", tile), classes, least))
+    found = found.unionByName(_near(_pigeonholes(classes, tile, hot), least, _tasks(classes)))
     return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
@@ -422,14 +500,16 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, tile: int = T
     """(a, b, doc_id, c, component): for each row of docs its identity (a, b), class and component of classes.
 
     Rows with equal sets of word shingles are one class; classes whose sets have a Jaccard similarity of
-    `least` or more are linked. Candidates share a key (see keys()). Sketches of 512 bits decide pairs that
-    are four deviations or more from the limit; all others are compared by their whole sets. Of pairs at
-    0.8 exactly, 99 % or more share a key (sets of 128 and more; practically all below), at 0.85 all but 1 in 10,000.
+    `least` or more are linked. Candidates share one of the 64 blocks of 16 bits of SimHashes of 1024 bits: all
+    that differ in fewer than 64 bits do, and of pairs at similarity 0.8 (155 bits differ) 99 % as reckoned, at 0.85
+    all but 1 in 1,000. Their Hamming distance in 512 of the bits decides pairs that are four deviations or more from
+    the limit; all others are compared by their whole sets. Sets of fewer than 32 shingles, too few for a
+    fingerprint, meet by keys() and are compared whole.
     """
     marked, a, b = _identified(docs)
     texts = marked.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(_sets(texts, shingle, least), "sets")
-    classes = written(rows.groupBy("c").agg(F.min(F.struct("a", "b")).alias("row"), *[F.first(x).alias(x) for x in ("n", "sig", "raw", "keys")]), "set-classes")
+    classes = written(rows.groupBy("c").agg(F.min(F.struct("a", "b")).alias("row"), *[F.first(x).alias(x) for x in ("n", "sig", "more", "raw", "keys")]), "set-classes")
     found = written(_alike(classes, texts, shingle, least, tile, hot), "set-links")
     sure = found.where("sure").select("a", "b")
     left = found.where("not sure")

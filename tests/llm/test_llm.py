@@ -643,6 +643,29 @@ def test_similar_sets(spark):
     assert len(set(tiled.values())) == len(set(want)) and len({(got[i], tiled[i]) for i in got}) == len(set(want))
 
 
+def test_pigeonhole_blocks(spark):
+    """Fingerprints of 1024 bits that differ in fewer than 64 meet in a block, hot or not; unlike ones are no edge."""
+    rng = np.random.default_rng(8)
+    core = rng.integers(0, 2, 1024, dtype=np.uint8)
+    rows = []
+    for c in range(60):
+        bits = core.copy()
+        at = rng.choice(1024, 31, replace=False) if c < 40 else np.flatnonzero(rng.integers(0, 2, 1024))
+        bits[at] ^= 1
+        both = np.packbits(bits).tobytes()
+        rows.append((c, 200, bytearray(both[:64]), bytearray(both[64:])))
+    classes = spark.createDataFrame(rows, "c long, n long, sig binary, more binary")
+    for tile, hot in ((2048, 8192), (4, 3)):
+        met = {}
+        for r in simhash._pigeonholes(classes, tile, hot).collect():
+            met.setdefault((r["key"], r["i"], r["j"]), set()).add(r["c"])
+        pairs = {(a, b) for m in met.values() for a in m for b in m if a < b}
+        assert pairs >= {(a, b) for b in range(40) for a in range(b)}
+        edges = simhash._near(simhash._pigeonholes(classes, tile, hot), 0.8, 4)
+        comps = {r["node"]: r["component"] for r in common.components(edges, "a", "b").collect()}
+        assert comps == {c: 0 for c in range(40)}
+
+
 def test_sketch_bounds_hold():
     rng = np.random.default_rng(3)
     for n in (32, 50, 200, 1000):
