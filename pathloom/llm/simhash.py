@@ -137,6 +137,7 @@ BITS = 16  # of a block of a fingerprint
 EVEN = 16  # classes of a block's value that are compared at once with those of other values
 CELL = 1 << 17  # shingles that a task holds of a group whose sets it compares, twice
 SKETCH = 8  # words of 64 bits
+SIEVE = 1 << 26  # bits that are broadcast to tell which rows to send
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], _U)
 
@@ -302,9 +303,42 @@ def _values(batch: pa.RecordBatch) -> np.ndarray:
     return (np.arange(value.shape[1], dtype=np.int32) << BITS) + value
 
 
-def _pigeonholes(classes: DataFrame, tile: int, hot: int) -> DataFrame:
-    """(key, i, j, c, n, sig): classes with fingerprints, under each of the 64 blocks of these. A block's value of
-    more than about `hot` classes is cut into tiles of `tile`, and each two of them meet: no pair is lost."""
+def _widest(bits: int, least: float) -> int:
+    """In how many bits fingerprints of `bits` bits may differ at most, if the sets may be alike by four deviations."""
+    d = np.arange(bits // 2)
+    slack = 4 * np.sqrt(np.maximum(d, 1) * (bits - d) / bits)
+    return int(np.searchsorted(np.maximum(d - slack, 0), bits / np.pi * np.arccos(2 * least / (1 + least)), "right")) - 1
+
+
+def _touched(start: np.ndarray, x: np.ndarray, y: np.ndarray, widest: int) -> np.ndarray:
+    """Which rows differ from another one of their group in at most `widest` bits of x and y; groups begin at `start`."""
+    size = np.diff(np.r_[start, x.size])
+    out = np.zeros(x.size, bool)
+    even = np.repeat(size <= EVEN, size)
+    to_end = np.repeat(start + size, size) - np.arange(x.size)
+    for shift in range(1, min(EVEN, int(size.max()))):
+        at = np.flatnonzero(even & (to_end > shift))
+        at = at[np.bitwise_count(x[at] ^ x[at + shift]) + np.bitwise_count(y[at] ^ y[at + shift]) <= widest]
+        out[at] = out[at + shift] = True
+    for k in np.flatnonzero(size > EVEN):
+        u, v = (w[start[k] : start[k] + size[k]] for w in (x, y))
+        if u.size <= 1024:
+            hit = (np.bitwise_count(u[:, None] ^ u) + np.bitwise_count(v[:, None] ^ v) <= widest).sum(1) > 1  # itself is one
+        else:
+            pairs = forest(u.size, lambda at, rest, u=u, v=v: np.bitwise_count(u[rest] ^ u[at]) + np.bitwise_count(v[rest] ^ v[at]) <= widest)
+            hit = np.isin(np.arange(u.size), np.array(pairs, np.int64))
+        out[start[k] : start[k] + size[k]] = hit
+    return out
+
+
+def _pigeonholes(classes: DataFrame, tile: int, hot: int, least: float = 0.8) -> DataFrame:
+    """(key, i, j, c, n, sig): groups of classes that share one of the 64 blocks of their fingerprints and that may be
+    alike with one more of the group, by 128 bits of the other fingerprint.
+
+    Only these two words go with each block; sketches are sent to the groups that are left, and those of the same
+    classes are one. A block's value of more than about `hot` classes is cut into tiles of `tile`, and each two of
+    them meet: no pair is lost.
+    """
     large = classes.where("sig is not null").select("c", "n", "sig", "more")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,25 +346,43 @@ def _pigeonholes(classes: DataFrame, tile: int, hot: int) -> DataFrame:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
                 value = _values(batch)
-                at = pa.array(np.repeat(np.arange(batch.num_rows), value.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(value.reshape(-1)), *(batch.column(c).take(at) for c in ("c", "n", "sig"))], ["key", "c", "n", "sig"])
+                other = [np.frombuffer(b"".join(batch.column(x).to_pylist()), np.int64).reshape(batch.num_rows, -1) for x in ("more", "sig")]
+                x, y = (np.repeat(np.stack([w[:, at] for w in other], 1), value.shape[1] // 2, 1).reshape(-1) for at in (0, 1))
+                c = np.repeat(batch.column("c").to_numpy(), value.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in (value.reshape(-1), c, x, y)], ["key", "c", "x", "y"])
 
-    least = max(1, hot // (2 * _tasks(classes)))  # in one task; others are too rare to be hot
+    rare = max(1, hot // (2 * _tasks(classes)))  # in one task; others are too rare to be hot
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2 * 64 * SKETCH // BITS) << BITS, np.int32)
         for batch in batches:
             if batch.num_rows:
                 total += np.bincount(_values(batch).reshape(-1), minlength=total.size).astype(np.int32)
-        at = np.flatnonzero(total >= least)
+        at = np.flatnonzero(total >= rare)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["key", "m"])
 
-    dealt = large.mapInArrow(deal, "key int, c long, n long, sig binary")
+    widest = _widest(128, least)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches, ["key", "i", "j"]):
+            key = np.stack([rows.column(x).to_numpy() for x in ("key", "i", "j")])
+            start = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1]
+            c, x, y = (rows.column(w).to_numpy().view(_U) for w in ("c", "x", "y"))
+            hit = _touched(start, x, y, widest)
+            same = _mix(np.add.reduceat(np.where(hit, _mix(c), _U(0)), start))  # of equal sets of classes; others meet by chance alone, which adds work
+            at = np.flatnonzero(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(same[np.searchsorted(start, at, "right") - 1].view(np.int64)), pa.array(c[at].view(np.int64))], ["key", "c"])
+
+    dealt = large.mapInArrow(deal, "key int, c long, x long, y long")
     often = written(large.select("sig", "more").mapInArrow(count, "key int, m long").groupBy("key").agg(F.sum("m").alias("m")).where(F.col("m") > hot), "hot-blocks")
     if often.isEmpty():
-        return dealt.withColumns({"i": F.lit(0), "j": F.lit(0)})
-    tiles = F.coalesce(F.ceil(F.col("m") / tile).cast("int"), F.lit(1))
-    return _tiled(dealt.join(F.broadcast(often), "key", "left").withColumn("tiles", tiles).drop("m"), "c")
+        dealt = dealt.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    else:
+        tiles = F.coalesce(F.ceil(F.col("m") / tile).cast("int"), F.lit(1))
+        dealt = _tiled(dealt.join(F.broadcast(often), "key", "left").withColumn("tiles", tiles).drop("m"), "c")
+    sorted_ = dealt.repartition(_tasks(classes), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    left = sorted_.mapInArrow(met, "key long, c long").distinct()
+    return left.join(large.select("c", "n", "sig"), "c").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "c", "n", "sig")
 
 
 def _near(pigeonholes: DataFrame, least: float, tasks: int) -> DataFrame:
@@ -479,14 +531,30 @@ def _alike(classes: DataFrame, texts: DataFrame, shingle: int, least: float, til
         ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy("m", "key")))  # one class's shingles
         prefix = ranked.where((F.col("m") > 1) & (F.col("place") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1)).select("key", "c")
         found = found.unionByName(_judged(_dealt(prefix, "c", tile), classes, least))
-    found = found.unionByName(_near(_pigeonholes(classes, tile, hot), least, _tasks(classes)))
+    found = found.unionByName(_near(_pigeonholes(classes, tile, hot, least), least, _tasks(classes)))
     return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
 def _hashes(classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(c, h): the whole shingle sets of classes, from one text of each."""
     own = written(classes.select("c", F.col("row.a").alias("a"), F.col("row.b").alias("b")), "set-rows")  # of known size
-    return texts.join(own, ["a", "b"]).dropDuplicates(["c"]).select("c", "text").mapInArrow(lambda it: _whole(it, shingle), "c long, h array<long>")
+    some = _sieved(texts, own, "a", "b", "_some").where("_some").drop("_some")
+    return some.join(own, ["a", "b"]).dropDuplicates(["c"]).select("c", "text").mapInArrow(lambda it: _whole(it, shingle), "c long, h array<long>")
+
+
+def _sieved(rows: DataFrame, ids: DataFrame, a: str, b: str, mark: str) -> DataFrame:
+    """rows with a column `mark`: true where their identity (a, b) is among ids (a, b), and in few other rows.
+
+    A bitmap of ids is broadcast, so that no text is shuffled to be dropped. It has 16 bits or more for each of ids, but
+    SIEVE at most: a fuller one marks more rows, and never fewer than those of ids.
+    """
+    bits = min(SIEVE, 1 << (16 * ids.count() + 63).bit_length())
+    word, held = private(rows, "_word"), private(rows, "_held")
+    place = f"(`{{}}` & {bits - 1}L)"
+    own, other = place.format("a"), place.format(a)
+    words = ids.groupBy(F.expr(f"shiftright({own}, 6)").alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({own} & 63 as int))")).alias(held))
+    found = rows.withColumn(word, F.expr(f"shiftright({other}, 6)")).join(F.broadcast(written(words, "sieve")), word, "left")
+    return found.withColumn(mark, F.expr(f"coalesce(shiftright(`{held}`, cast({other} & 63 as int)) & 1 = 1, false)")).drop(word, held)
 
 
 def _identified(docs: DataFrame) -> tuple[DataFrame, str, str]:
@@ -502,7 +570,8 @@ def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, tile: int = T
     Rows with equal sets of word shingles are one class; classes whose sets have a Jaccard similarity of
     `least` or more are linked. Candidates share one of the 64 blocks of 16 bits of SimHashes of 1024 bits: all
     that differ in fewer than 64 bits do, and of pairs at similarity 0.8 (155 bits differ) 99 % as reckoned, at 0.85
-    all but 1 in 1,000. Their Hamming distance in 512 of the bits decides pairs that are four deviations or more from
+    all but 1 in 1,000. 128 bits rule out most others where they meet, with the same margin of four deviations as all
+    that follows. The Hamming distance in 512 of the bits decides pairs that are four deviations or more from
     the limit; all others are compared by their whole sets. Sets of fewer than 32 shingles, too few for a
     fingerprint, meet by keys() and are compared whole.
     """
@@ -538,14 +607,17 @@ def unique(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """
     found = similar(docs, shingle, least)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
-    won = found.groupBy("component").agg(F.min(order).alias("o")).select("o.a", "o.b")
-    counted = written(found.groupBy("a", "b").agg(F.count("*").alias("n")).join(won, ["a", "b"]), "won")
+    won = found.groupBy("component").agg(F.min(order).alias("o")).select("o.a", "o.b", F.lit(True).alias("won"))
+    counted = found.groupBy("a", "b").agg(F.count("*").alias("n")).join(won, ["a", "b"], "left")
+    judged = written(counted.where("won is null or n > 1"), "judged")  # all others stay as they are, and their texts where they are
     marked, a, b = _identified(docs)
-    size = private(docs, "_rows")
-    kept = marked.join(counted.select(F.col("a").alias(a), F.col("b").alias(b), F.col("n").alias(size)), [a, b])
+    mark = private(docs, "_judged")
+    some = _sieved(marked, judged, a, b, mark)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = kept.where(F.col(size) == 1).select(*columns)
-    if counted.where("n > 1").isEmpty():
+    named = judged.select(F.col("a").alias(a), F.col("b").alias(b), "won")
+    once = some.where(~F.col(mark)).select(*columns).unionByName(some.where(F.col(mark)).join(named, [a, b], "left_anti").select(*columns))
+    if judged.where("won").isEmpty():
         return once
-    whole = F.struct(*columns)
-    return once.unionByName(kept.where(F.col(size) > 1).groupBy(a, b).agg(F.first(whole).alias(size)).select(f"{size}.*"))
+    whole = private(docs, "_whole")
+    repeated = some.where(F.col(mark)).join(named.where("won"), [a, b], "left_semi")
+    return once.unionByName(repeated.groupBy(a, b).agg(F.first(F.struct(*columns)).alias(whole)).select(f"{whole}.*"))

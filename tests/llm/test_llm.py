@@ -666,6 +666,70 @@ def test_pigeonhole_blocks(spark):
         assert comps == {c: 0 for c in range(40)}
 
 
+def test_unlike_classes_send_no_sketches(spark):
+    """Classes that share a block by chance are ruled out by two words; only those that may be alike send their sketches."""
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (1500, 1024), dtype=np.uint8)
+    bits[1000] = bits[0]
+    bits[1000, rng.choice(1024, 60, replace=False)] ^= 1
+    bits[:, 700:716] = 1  # a block that all share
+    both = [np.packbits(b).tobytes() for b in bits]
+    classes = spark.createDataFrame([(c, 200, bytearray(b[:64]), bytearray(b[64:])) for c, b in enumerate(both)], "c long, n long, sig binary, more binary")
+    for tile, hot in ((2048, 8192), (400, 1000)):
+        rows = simhash._pigeonholes(classes, tile, hot).collect()
+        assert {0, 1000} <= {r["c"] for r in rows} and len(rows) < 200
+
+
+def test_groups_that_may_be_alike():
+    rng = np.random.default_rng(6)
+    sizes = [1, 2, 3, 16, 17, 300, 1500, 1]
+    x, y = rng.integers(0, 1 << 63, (2, sum(sizes)), dtype=np.uint64)
+    start = np.cumsum([0, *sizes[:-1]])
+    want = np.zeros(x.size, bool)
+    for s, n in zip(start, sizes, strict=True):
+        if n > 1:
+            x[s + n - 1], y[s + n - 1] = x[s] ^ np.uint64(2**20 - 1), y[s] ^ np.uint64(2**20 - 1)
+        for a in range(s, s + n):
+            d = np.bitwise_count(x[s : s + n] ^ x[a]) + np.bitwise_count(y[s : s + n] ^ y[a])
+            want[a] = (d <= 40).sum() > 1
+    assert (simhash._touched(start, x, y, 40) == want).all() and want.sum() >= 12
+
+
+def test_texts_stay_where_they_are(spark):
+    """Of texts without near copies none is shuffled, to find what is kept or to compare whole sets."""
+    rng = random.Random(21)
+    texts = [" ".join("%08x" % rng.getrandbits(32) for _ in range(2500)) for _ in range(60)]
+    words = texts[0].split()
+    texts += [texts[1], " ".join(words[:2000] + words[2030:])]
+    df = documents(spark, texts).localCheckpoint()
+    tracker, before = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    first = tracker.dagScheduler().nextStageId()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r["doc_id"] for r in simhash.unique(df).collect()} == set(range(60))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sent = 0
+    for k in range(first, tracker.dagScheduler().nextStageId()):
+        try:
+            sent += tracker.statusStore().lastStageAttempt(k).shuffleWriteBytes()
+        except Exception:  # a stage that was not run
+            continue
+    assert 0 < sent < 0.5 * sum(map(len, texts))
+
+
+def test_sieve(spark, monkeypatch):
+    rows = spark.range(4000).select(F.xxhash64("id").alias("a"), F.hash("id").alias("b"), "id")
+    ids = rows.where("id % 10 = 0").select("a", "b")
+    for most, few in ((1 << 26, 0.2), (64, 1.1)):
+        monkeypatch.setattr(simhash, "SIEVE", most)
+        got = simhash._sieved(rows, ids, "a", "b", "hit")
+        assert got.columns == ["a", "b", "id", "hit"] and got.count() == 4000
+        hit = {r["id"] for r in got.where("hit").collect()}
+        assert hit >= set(range(0, 4000, 10)) and len(hit) <= 4000 * few
+    assert simhash._sieved(rows, ids.limit(0), "a", "b", "hit").where("hit").isEmpty()
+
+
 def test_sketch_bounds_hold():
     rng = np.random.default_rng(3)
     for n in (32, 50, 200, 1000):
