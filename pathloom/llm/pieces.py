@@ -7,6 +7,7 @@ import re
 import struct
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 _OWN = 1 << 21  # symbols from here on stand for a code point outside the vocabulary
 _PLACE, _ID = (1 << 48) - 1, (1 << 32) - 1
+_BITS, _NONE, _EDGE, _GONE = 22, 1 << 24, (1 << 22) - 1, (1 << 22) - 2  # bits of a symbol, the rank of no piece, what stands around a segment, what merged
+_WIDTHS, _ROWS, _FEW = (8, 16, 32, 64), 8192, 64  # places of a tree, segments merged at once, fewer go through the heap
 _KEPT, _KEPT_CHARS = 300_000, 8 << 20
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -103,10 +106,11 @@ class Vocabulary:
                 a, b = symbol.get(name[:k]), symbol.get(name[k:])
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank_of[scores[i]] << 32 | i
+        self._table()
         self.known: dict[str, int] = {}
         self.known_ids: list[bytes] = []
         self.known_text: list[bytes] = []
-        self.known_count: list[int] = []
+        self.known_met = bytearray()  # 1 for a segment met again since the cache was last thinned out
         self.known_chars = 0
         self._library = None
 
@@ -140,32 +144,136 @@ class Vocabulary:
                 push(heap, (found >> 32) << 48 | p)
         return [s for s in symbols if s >= 0]
 
+    def _table(self) -> None:
+        """The pairs once more, in a hash table with linear probes that arrays of pairs are looked up in."""
+        pairs = np.fromiter(self.pairs, np.int64, len(self.pairs))
+        keys = pairs >> 32 << _BITS | pairs & _ID
+        found = np.fromiter(self.pairs.values(), np.int64, len(self.pairs))
+        bits = max(4 * len(keys), 16).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots, self.slot_found = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE << 32, np.int64)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while left.size:
+            free = left[self.slots[at[left]] < 0]
+            self.slots[at[free]] = keys[free]  # one of those that share a slot stays
+            left = left[self.slots[at[left]] != keys[left]]
+            at[left] = at[left] + 1 & self.mask
+        self.slot_found[at] = found
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def _found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the pieces that pairs of symbols make; _NONE where they make none."""
+        keys = left.astype(np.int64) << _BITS | right
+        at = self._slot(keys)
+        slots = self.slots[at]
+        found = self.slot_found[at]
+        miss = slots != keys
+        found[miss] = _NONE << 32
+        open_ = np.flatnonzero(miss & (slots >= 0))
+        while open_.size:
+            at[open_] = at[open_] + 1 & self.mask
+            slots = self.slots[at[open_]]
+            hit = slots == keys[open_]
+            found[open_[hit]] = self.slot_found[at[open_[hit]]]
+            open_ = open_[~hit & (slots >= 0)]
+        return (found >> 32).astype(np.int32), found.astype(np.int32)
+
+    def _agendas(self, symbols: np.ndarray) -> None:
+        """_agenda() for many short segments at once, in place: a row each, _EDGE before and after its symbols.
+
+        The agenda of a row is a tournament tree over its places: a leaf is the rank of the pair that begins there,
+        then the place, the root is the best of them. A round takes every row's root, merges that pair and
+        renews the three leaves that this changes, with the nodes above them.
+        """
+        rows, width = symbols.shape
+        rank, into = np.full((rows, width), _NONE, np.int32), np.zeros((rows, width), np.int32)
+        rank[:, :-1], into[:, :-1] = (x.reshape(rows, -1) for x in self._found(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()))
+        tree = np.empty((rows, 2 * width), np.int32)
+        tree[:, width:] = rank << 6 | np.arange(width, dtype=np.int32)
+        half = width // 2
+        while half:
+            tree[:, half : 2 * half] = np.minimum(tree[:, 2 * half : 4 * half : 2], tree[:, 2 * half + 1 : 4 * half : 2])
+            half //= 2
+        before, after = (np.tile(np.arange(width) + step, rows) for step in (-1, 1))
+        symbols, into, tree = symbols.reshape(-1), into.reshape(-1), tree.reshape(-1)
+        none = _NONE << 6
+        live = np.arange(rows)
+        while True:
+            top = tree[live * (2 * width) + 1]
+            going = top < none
+            live, top = live[going], top[going]
+            if not live.size:
+                return
+            row, root = live * width, live * (2 * width)
+            a = top & 63
+            at = row + a
+            b, p = after[at], before[at]
+            c = after[row + b]
+            symbols[at], symbols[row + b] = into[at], _GONE
+            after[at], before[row + c] = c, a
+            two = np.concatenate([at, row + p])
+            rank, made = self._found(symbols[two], symbols[np.concatenate([row + c, at])])
+            into[two] = made
+            place = np.concatenate([a, p, b]) + width
+            root = np.concatenate([root, root, root])
+            tree[root + place] = np.concatenate([rank << 6, np.full(live.size, none, np.int32)]) | place - width
+            half = width // 2
+            while half:
+                place >>= 1
+                node = root + place
+                child = node + place
+                tree[node] = np.minimum(tree[child], tree[child + 1])
+                half //= 2
+
+    def _merged(self, points: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+        """The final symbols of segments whose first symbols follow each other in points."""
+        out: list[list[int]] = [[]] * sizes.size
+        starts = np.cumsum(sizes) - sizes
+        kind = np.searchsorted(np.array(_WIDTHS), sizes + 2)
+        for k, width in enumerate(_WIDTHS):
+            same = np.flatnonzero(kind == k)
+            if same.size < _FEW:
+                kind[same] = len(_WIDTHS)
+                continue
+            for x in range(0, same.size, _ROWS):
+                some = same[x : x + _ROWS]
+                spot = starts[some][:, None] + np.arange(-1, width - 1)
+                inside = (spot >= starts[some][:, None]) & (spot < (starts + sizes)[some][:, None])
+                symbols = np.full((some.size, width), _EDGE, np.int32)
+                symbols[inside] = points[spot[inside]]
+                self._agendas(symbols)
+                stay = symbols < _GONE
+                flat, ends = symbols[stay].tolist(), np.cumsum(stay.sum(1)).tolist()
+                for i, a, b in zip(some.tolist(), [0, *ends], ends, strict=False):
+                    out[i] = flat[a:b]
+        for i in np.flatnonzero(kind == len(_WIDTHS)).tolist():
+            out[i] = self._agenda(points[starts[i] : starts[i] + sizes[i]].tolist())
+        return out
+
     def _learn(self, keys: list[str]) -> None:
         """Encode segments not met before; each is a space and a word. All are checked against the library."""
-        final: list[list[int]] = []
-        agenda, size = self._agenda, len(self.names)
+        size = len(self.names)
+        decimal, text = self.decimal.__getitem__, self.raw.__getitem__
         for x in range(0, len(keys), 20_000):
             some = keys[x : x + 20_000]
-            points = self.of_char[np.frombuffer("".join([SPACE + k for k in some]).replace(" ", SPACE).encode("utf-32-le"), np.uint32)].tolist()
-            at = 0
-            for key in some:
-                end = at + len(key) + 1
-                ids = agenda(points[at:end])
-                at = end
-                if max(ids) >= size:  # code points outside the vocabulary fall back to bytes
-                    ids = [y for s in ids for y in ([s] if s < size else [self.bytes_at[b] for b in chr(s - _OWN).encode()])]
-                final.append(ids)
-        decimal, text = self.decimal.__getitem__, self.raw.__getitem__
-        start = len(self.known_ids)
-        self.known.update(zip(keys, range(start, start + len(keys)), strict=True))
-        self.known_ids += [b",".join(map(decimal, ids)) for ids in final]
-        self.known_text += [b"".join(map(text, ids)) for ids in final]
-        self.known_count += map(len, final)
+            points = self.of_char[np.frombuffer((SPACE + SPACE.join(some)).replace(" ", SPACE).encode("utf-32-le"), np.uint32)]
+            sizes = np.fromiter(map(len, some), np.int64, len(some)) + 1
+            final = self._merged(points, sizes)
+            for i in np.unique(np.searchsorted(np.cumsum(sizes), np.flatnonzero(points >= size), "right")).tolist():
+                # code points outside the vocabulary fall back to bytes
+                final[i] = [y for s in final[i] for y in ([s] if s < size else [self.bytes_at[b] for b in chr(s - _OWN).encode()])]
+            real = [i for i, k in enumerate(some) if k]  # the library has no lone prefix
+            for i, ids in zip(real, self.library().encode([some[i] for i in real], num_threads=1), strict=True):
+                if ids != final[i]:
+                    raise ValueError(f"ids differ from the library's for {some[i][:80]!r}")
+            start = len(self.known_ids)
+            self.known.update(zip(some, range(start, start + len(some)), strict=True))
+            self.known_ids += [b",".join(map(decimal, ids)) for ids in final]
+            self.known_text += [b"".join(map(text, ids)) for ids in final]
+        self.known_met += bytes(len(keys))
         self.known_chars += sum(map(len, keys))
-        real = [i for i, k in enumerate(keys) if k]  # the library has no lone prefix
-        for i, ids in zip(real, self.library().encode([keys[i] for i in real], num_threads=1), strict=True):
-            if ids != final[i]:
-                raise ValueError(f"ids differ from the library's for {keys[i][:80]!r}")
 
     def library(self):  # noqa: ANN201
         if self._library is None:
@@ -186,24 +294,42 @@ class Vocabulary:
         return text.split(" ")
 
     def meet(self, parts: list[list[str]]) -> None:
-        """Learn the segments of these texts that the cache lacks. The cache starts anew when full."""
-        known = self.known
-        new = list({k: None for keys in parts for k in keys if k not in known})
-        if len(known) + len(new) > _KEPT or self.known_chars > _KEPT_CHARS:
-            self.known, self.known_ids, self.known_text, self.known_count, self.known_chars = {}, [], [], [], 0
-            new = list({k: None for keys in parts for k in keys})
+        """Learn the segments of these texts that the cache lacks. When full, it keeps those met more than once
+        since it was last full, or starts anew if they are too many themselves."""
+        keys = list(dict.fromkeys(chain.from_iterable(parts)))
+        met = self.known_met
+        new = []
+        for k, at in zip(keys, map(self.known.get, keys), strict=True):
+            if at is None:
+                new.append(k)
+            else:
+                met[at] = 1
+        if self._full(new):
+            self._thin()
+            if self._full(new):
+                self.known, self.known_ids, self.known_text, self.known_met, self.known_chars = {}, [], [], bytearray(), 0
+                new = keys
         if new:
             self._learn(new)
 
+    def _full(self, new: list[str]) -> bool:
+        return len(self.known) + len(new) > _KEPT or self.known_chars > _KEPT_CHARS
+
+    def _thin(self) -> None:
+        met = self.known_met
+        self.known_ids, self.known_text = list(compress(self.known_ids, met)), list(compress(self.known_text, met))
+        self.known = {k: i for i, k in enumerate(compress(self.known, met))}  # keys are in the order of their places
+        self.known_met, self.known_chars = bytearray(len(self.known)), sum(map(len, self.known))
+
     def both(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
         """For each text the number of ids, the ids in decimal joined by commas, and the decoded text in UTF-8."""
         parts = [self.segments(t) for t in texts]
         self.meet(parts)
-        known, ids, decoded, counts = self.known, self.known_ids, self.known_text, self.known_count
+        known, ids_of, text_of = self.known.__getitem__, self.known_ids.__getitem__, self.known_text.__getitem__
         for keys in parts:
-            at = [known[k] for k in keys]
-            out = b"".join([decoded[i] for i in at])
-            yield sum([counts[i] for i in at]), b",".join([ids[i] for i in at]), out[1:] if out[:1] == b" " else out
+            at = list(map(known, keys))
+            ids, out = b",".join(map(ids_of, at)), b"".join(map(text_of, at))
+            yield ids.count(b",") + 1 if ids else 0, ids, out[1:] if out[:1] == b" " else out
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in next(self.both([text]))[1].split(b",")] if text else []

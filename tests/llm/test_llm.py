@@ -472,6 +472,37 @@ def test_cache_starts_anew(monkeypatch):
         assert own.encode(text) == lib.encode(text)
 
 
+def test_short_segments_share_an_agenda(monkeypatch):
+    own = pieces.Vocabulary(pieces.model_path())
+    rng = random.Random(4)
+    bits = ["a", "b", "e", "é", "漢", "😀", "\n", "th", "ing", "er", "0", "\x00", "<0x41>", "S", "aaaa"]
+    words = ["".join(rng.choice(bits) for _ in range(rng.randint(0, most))) for most in (3, 6, 12, 25, 40) for _ in range(400)] + ["a" * n for n in range(90)]
+    keys = list(dict.fromkeys(words))
+    points = [own.of_char[[ord(c) for c in pieces.SPACE + k]] for k in keys]
+    want = [own._agenda(p.tolist()) for p in points]
+    alone = []
+    monkeypatch.setattr(own, "_agenda", lambda symbols: alone.append(symbols) or pieces.Vocabulary._agenda(own, symbols))
+    short = list(dict.fromkeys(k[:5] for k in keys))
+    lib = own.library()
+    text = " ".join(short)
+    assert own.encode(text) == lib.encode(text)
+    assert len(short) > 300 and len(alone) < 64  # one by one they took more than the budget of op8
+    assert own._merged(np.concatenate(points), np.array([len(p) for p in points])) == want
+
+
+def test_cache_keeps_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(pieces, "_KEPT", 30)
+    own = pieces.Vocabulary(pieces.model_path())
+    learned, learn = [], own._learn
+    monkeypatch.setattr(own, "_learn", lambda keys: learned.extend(keys) or learn(keys))
+    lib = own.library()
+    for i in range(40):
+        text = f"the same words again x{i} y{i}"
+        assert own.encode(text) == lib.encode(text)
+        assert len(own.known) == len(own.known_ids) == len(own.known_text) <= 30 and own.known_chars == sum(map(len, own.known))
+    assert len(learned) == len(set(learned)) == 84
+
+
 # --- 9 ----------------------------------------------------------------------------------------
 
 
