@@ -3,13 +3,16 @@
 import json
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions.special import digamma, t_cdf, t_critical
 from pathloom.operators import bounds, frontier, graph, metrics, rules, sampling, scoring, search, seeds, stats
+from pathloom.plans import registry, stat_queries
 from pathloom.plans import sampling_queries as sq
+from pathloom.plans.seed_queries import CHURN
 from pathloom.sources import catalog
 from pathloom.sources.catalog import SHOP, Database, TableMeta
 
@@ -385,6 +388,32 @@ def test_siblings_are_aggregated_once(spark):
     assert got == {r["SeedId"]: (r["n"], r["low"], r["high"]) for r in plain.collect()}
 
 
+def test_sibling_frontier_is_distinct_for_each_seed(spark, tmp_path):
+    """Customers and nations that repeat, null keys, a customer in two nations: each seed's frontier has each row once, as in the SQL."""
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        con.execute(f"CREATE TABLE {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    con.execute("INSERT INTO nation SELECT * FROM nation WHERE n_nationkey < 3")
+    con.execute("INSERT INTO customer SELECT * FROM customer WHERE c_custkey < 10 UNION ALL SELECT * REPLACE ((c_nationkey + 1) % 25 AS c_nationkey) FROM customer WHERE c_custkey < 5")
+    con.execute("INSERT INTO customer SELECT * REPLACE (NULL AS c_custkey) FROM customer WHERE c_custkey < 3 UNION ALL SELECT * REPLACE (NULL AS c_nationkey, c_custkey + 1000 AS c_custkey) FROM customer WHERE c_custkey < 3")
+    for t in ("nation", "customer", "orders"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    want = con.execute(registry.oracle_sql()["frontier_h2_sibling"]).fetchall()
+    got = registry.queries()["frontier_h2_sibling"](spark, str(tmp_path)).select("SeedId", "ts", "n", "first_id", "last_id").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    db = Database(spark, str(tmp_path))
+    rows = frontier.whole(db, seeds.churn(db), stat_queries.PATHS["sibling"]).withColumn("ts", F.col("ts").cast("string"))
+    listed = con.execute(f"WITH {CHURN}, {stat_queries.FRONTIERS} SELECT SeedId, CAST(ts AS VARCHAR), id FROM f_sibling").fetchall()
+    assert sorted(map(repr, map(tuple, rows.collect()))) == sorted(map(repr, listed))
+
+
+def test_whole_frontier_of_other_paths(made):
+    """Paths with times, or that branch before the end, have the same rows as along()."""
+    db, own = made
+    for path in ((("a", "rev_f2p_a_id", "b"),), (("a", "rev_f2p_a_id", "b"), ("b", "f2p_up", "b")), (("a", "rev_f2p_a_id", "b"), ("b", "rev_f2p_up", "b"))):
+        assert ids(frontier.whole(db, own.unionByName(own), path)) == ids(frontier.along(db, own, path))
+
+
 def _loss(spark, pos, neg):
     df = spark.createDataFrame([(k, 1.0, x) for k, x in enumerate(pos)] + [(-k - 1, 0.0, x) for k, x in enumerate(neg)], "bag_id long, y double, score double")
     return tuple(search.pairwise_loss(df).first())
